@@ -51,11 +51,12 @@ class Memo(dict):
 
     def fill(self, keys: Iterable[str], compute: Callable[[list[str]], Iterable]) -> None:
         """Add what is missing of ``keys``, computed all at once. Afterwards every key is present."""
-        missing = [k for k in set(keys) if k not in self]
+        wanted = set(keys)
+        missing = [k for k in wanted if k not in self]
         if missing:
             if len(self) + len(missing) > self.limit:
                 self.clear()
-                missing = list(set(keys))
+                missing = list(wanted)
             self.update(zip(missing, compute(missing), strict=True))
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,8 @@ class PieceModel:
         self._index(np.array(keys, np.int64), np.array(values, np.int64), np.array(merged, np.int64))
         self.surface = [b"" if i in self.control else self.unk_surface.encode() if i in self.unknown else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.last_special = max(*self.byte_of, *self.control, *self.unknown)
+        self.decimal = [str(i) for i in range(len(self.pieces))]
 
     def _index(self, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray) -> None:
         """An open hash table of the pairs, probed for whole arrays."""
@@ -127,8 +130,9 @@ class PieceModel:
         if (sym >= len(self.pieces)).any():
             word, sym = self._bytes(word, sym)
         order = np.argsort(word, kind="stable")
-        cuts = np.searchsorted(word[order], np.arange(1, len(words)))
-        return np.split(sym[order].astype(np.int32), cuts)
+        flat = sym[order].astype(np.int32)
+        cuts = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        return [flat[a:b] for a, b in pairwise(cuts)]
 
     def _symbols(self, sym: np.ndarray) -> np.ndarray:
         return np.where(sym < len(self.pieces), sym, self.char_symbol[np.maximum(sym - len(self.pieces), 0)])
@@ -178,9 +182,14 @@ class PieceModel:
 
     def _bytes(self, word: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become the ids of their UTF-8 bytes."""
-        out = [[int(s)] if s < len(self.pieces) else [self.byte_id[b] for b in chr(s - len(self.pieces)).encode("utf-8", "surrogatepass")] for s in sym]
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.repeat(word, counts), np.array([i for ids in out for i in ids], np.int64)
+        rare = np.flatnonzero(sym >= len(self.pieces))
+        spelled = [[self.byte_id[b] for b in chr(s - len(self.pieces)).encode("utf-8", "surrogatepass")] for s in sym[rare].tolist()]
+        counts = np.ones(len(sym), np.int64)
+        counts[rare] = list(map(len, spelled))
+        at, sym = np.cumsum(counts) - counts, np.repeat(sym, counts)
+        for start, ids in zip(at[rare].tolist(), spelled, strict=True):
+            sym[start : start + len(ids)] = ids
+        return np.repeat(word, counts), sym
 
     def decode_bytes(self, ids, *, at_start: bool = True) -> bytes:
         """UTF-8 of the decoded ids. Runs of byte ids are decoded together, each invalid byte to U+FFFD; the first blank of the text is the dummy prefix."""
@@ -261,11 +270,11 @@ def _memo(path: str, kind: str) -> Memo:
     return Memo(400_000)
 
 
-def encode_text(text: str, path: str) -> np.ndarray:
-    """Ids of a whole text, without begin or end ids."""
-    keys, memo, m = split_words(text), _memo(path, "ids"), model(path)
-    memo.fill(keys, lambda new: m.encode_words([surface_word(k) for k in new]))
-    return np.concatenate([memo[k] for k in keys]) if keys else np.zeros(0, np.int32)
+def encode_texts(batch: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each whole text, without begin or end ids."""
+    rows, memo, m = [split_words(t) for t in batch], _memo(path, "ids"), model(path)
+    memo.fill(chain.from_iterable(rows), lambda new: m.encode_words([surface_word(k) for k in new]))
+    return [np.concatenate([memo[k] for k in keys]) if keys else np.zeros(0, np.int32) for keys in rows]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -273,7 +282,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_model()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [encode_text(t, path) for t in texts(batch.column(1))]
+        ids = encode_texts(texts(batch.column(1)), path)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_batches(docs, ["doc_id", "text"], work, "doc_id long, ids array<int>")
@@ -303,13 +312,14 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         m, memo = model(path), _memo(path, "digest")
 
         def entries(new: list[str]):
-            for key, ids in zip(new, m.encode_words([surface_word(k) for k in new]), strict=True):
-                yield len(ids), ",".join(map(str, ids.tolist())), m.decode_bytes(ids, at_start=False)
+            for array in m.encode_words([surface_word(k) for k in new]):
+                ids = array.tolist()
+                yield len(ids), ",".join([m.decimal[i] for i in ids]), b"".join([m.surface[i] for i in ids]) if min(ids) > m.last_special else m.decode_bytes(ids, at_start=False)
 
         rows = [split_words(t) for t in texts(batch.column(1))]
         counts, ids_sha, text_sha = [], [], []
+        memo.fill(chain.from_iterable(rows), entries)
         for keys in rows:
-            memo.fill(keys, entries)
             found = [memo[k] for k in keys]
             counts.append(sum([x[0] for x in found]))
             ids_sha.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
