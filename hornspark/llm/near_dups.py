@@ -40,7 +40,7 @@ from hornspark.sources.scratch import Scratch
 BANDS, ROWS = 32, 4
 #: Shingles whose sets one block holds (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
-ROUND = np.uint64(0x9E3779B97F4A7C15)
+ROUND = 0x9E3779B97F4A7C15
 
 
 def fast_similarity_sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def fast_similarity_sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     for r in range(2 * t):
         if not len(items):
             break
-        h = mix(items + np.uint64(r + 1) * ROUND)
+        h = mix(items + np.uint64((r + 1) * ROUND & (1 << 64) - 1))
         bins = ((h >> np.uint64(40)) * np.uint64(t) >> np.uint64(24)).astype(np.int64) if r < t else np.full(len(items), r - t)
         np.minimum.at(sketch, owner * t + bins, np.uint64(r) << np.uint64(56) | (h & np.uint64((1 << 40) - 1)) << np.uint64(16))
         open_sets = (sketch.reshape(-1, t) == full).any(axis=1)

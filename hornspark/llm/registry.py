@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe_counts, near_dups, packing, pieces
+from hornspark.llm import bpe_counts, fingerprints, near_dups, packing, pieces
 from hornspark.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op5_packing, op8_near_dups)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op5_packing, op8_near_dups, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
