@@ -8,11 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from hornspark.sources.ship import ship
+
 #: Rows and bytes that an Arrow batch to Python holds at most: texts may be long, and a worker's memory is small.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """What every operator with Python workers needs first: small batches, and this package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -26,7 +30,7 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema) -> DataFrame:
     """``work`` on each Arrow batch of ``columns``, without a shuffle. Only these columns are read."""
     bound_batches(df.sparkSession)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe_counts, fingerprints, near_dups, packing, pieces
+from hornspark.llm import bpe_counts, fingerprints, near_dups, packing, pieces, quality, toxicity
 from hornspark.llm.common import table
 
 
@@ -30,8 +30,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op5_packing, op8_near_dups, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_toxicity, op4_token_counts, op5_packing, op8_near_dups, op9_quality, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
