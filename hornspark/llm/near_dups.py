@@ -127,14 +127,27 @@ def similar_groups(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
 
 
 def _verify(groups: DataFrame, percent: int) -> DataFrame:
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(tables))
-        ids = t.column("doc_id").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
-        found = similar_groups(ids, sets, percent)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    return groups.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    """Links of each (root, i, j). One Arrow stream a task, cut where the key changes: groups are many and mostly tiny."""
+
+    def links(ids: list, sets: list) -> pa.RecordBatch:
+        found = similar_groups(np.array(ids), [np.frombuffer(b, np.uint64) for b in sets], percent)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+        for b in batches:
+            for i, s, *k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != key:
+                    if len(ids) > 1:
+                        yield links(ids, sets)
+                    key, ids, sets = k, [], []
+                ids.append(i)
+                sets.append(s)
+        if len(ids) > 1:
+            yield links(ids, sets)
+
+    keys = ["root", "i", "j"]
+    return groups.select("doc_id", "shingles", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
