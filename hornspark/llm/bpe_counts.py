@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hornspark.llm.common import Memo, map_batches, texts
+from hornspark.llm.common import Memo, by_row, map_batches, texts
 
 
 def default_tokenizer() -> str:
@@ -198,8 +198,7 @@ def count_chunks(new: list[str], path: str) -> list[int]:
     """Tokens of each chunk: its words' last prefix counts."""
     c, (_, by_word) = counter(path), _memos(path)
     found = [c.words(x) for x in new]
-    by_word.fill(chain.from_iterable(found), lambda words: [c.count_word(w) for w in words])
-    return [sum([by_word[w] for w in words]) for words in found]
+    return list(map(sum, by_row(found, lambda words: by_word.look_up(words, lambda new: [c.count_word(w) for w in new]))))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
@@ -210,8 +209,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
         memo, _ = _memos(path)
         found = texts(batch.column(1))
         rows = [chunks(t) for t in found]
-        memo.fill(chain.from_iterable(rows), lambda new: count_chunks(new, path))
-        counts = np.array([sum(map(memo.__getitem__, r)) for r in rows], np.int64)
+        counts = np.array([sum(x) for x in by_row(rows, lambda keys: memo.look_up(keys, lambda new: count_chunks(new, path)))], np.int64)
         sizes = np.array([len(t.encode()) for t in found], np.int64)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +54,27 @@ class Memo(dict):
         super().__init__()
         self.limit = limit
 
-    def fill(self, keys: Iterable[str], compute: Callable[[list[str]], Iterable]) -> None:
-        """Add what is missing of ``keys``, computed all at once. Afterwards every key is present."""
-        wanted = set(keys)
-        missing = [k for k in wanted if k not in self]
-        if missing:
+    def look_up(self, keys: list, compute: Callable[[list], Iterable]) -> list:
+        """The value of each key; those missing are computed all at once."""
+        out = list(map(self.get, keys))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        if gaps:
+            missing = list({keys[i] for i in gaps})
             if len(self) + len(missing) > self.limit:
                 self.clear()
-                missing = list(wanted)
             self.update(zip(missing, compute(missing), strict=True))
+            for i in gaps:
+                out[i] = self[keys[i]]
+        return out
+
+
+def by_row(rows: list[list], look_up: Callable[[list], list]) -> Iterator[list]:
+    """The looked-up values of each row, all rows looked up together."""
+    found = look_up(list(chain.from_iterable(rows)))
+    at = 0
+    for r in rows:
+        yield found[at : at + len(r)]
+        at += len(r)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,15 +22,14 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from hornspark.llm.bpe_counts import default_tokenizer
-from hornspark.llm.common import Memo, bound_batches, texts
+from hornspark.llm.bpe_counts import counter, default_tokenizer
+from hornspark.llm.common import Memo, bound_batches, by_row, texts
 
 WINDOW = 4096
 END_ID = 2
@@ -46,14 +45,22 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: A chunk in lower case that ends in marks: the word before them, and they.
 MARKS_AFTER_WORD = re.compile(rb"([^<]*[a-z0-9])([!-/:-@\[-`{-~]+)")
 
+#: Letters a to z, and the small ones of Latin-1, which have no other normal form.
+PLAIN_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
 
 class ChunkEncoder:
     """Ids by the library, for each blank-free chunk once: blanks never matter to this tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that need no normalizing, written in the alphabet the library has for bytes.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
+        self.letters = {k: v for k, v in counter(path).translate.items() if k != 32}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.memo, self.words = Memo(1_000_000), Memo(600_000)
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -67,28 +74,37 @@ class ChunkEncoder:
             m = MARKS_AFTER_WORD.fullmatch(c)
             cores.append(m[1] if m else c)
             tails.append(m[2] if m else b"")
-        self.words.fill(chain(cores, tails), self._library)
-        words = self.words
-        return [words[a] + words[b] if b else words[a] for a, b in zip(cores, tails, strict=True)]
+        words = self.words.look_up(cores + tails, self._library)
+        return [a + b if b else a for a, b in zip(words[: len(cores)], words[len(cores) :], strict=True)]
 
     def _library(self, raw_chunks: list[bytes]) -> list[bytes]:
+        """Plain words, which the normalizer leaves alone and the pattern whole, go to the model at once; others through the whole tokenizer."""
         out: list[bytes | None] = [None] * len(raw_chunks)
-        new = [c.decode("utf-8", "surrogatepass") for c in raw_chunks]
-        plain = [k for k, c in enumerate(new) if "<|" not in c]
+        plain = [k for k, c in enumerate(raw_chunks) if PLAIN_WORD.fullmatch(c)]
         for lo in range(0, len(plain), 4096):
             some = plain[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join([new[k] for k in some]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.separator)
-            ends, raw = [*(cuts * 4).tolist(), len(ids) * 4], ids.astype("<u4").tobytes()
-            at = 0
-            for k, end in zip(some, ends, strict=True):
-                out[k] = raw[at:end]
-                at = end + 4
-        for k, c in enumerate(new):
+            text = b" ".join([raw_chunks[k] for k in some]).decode("latin-1").translate(self.letters)
+            found = self.bare.encode(text, add_special_tokens=False)
+            self._cut(out, some, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(1, len(some))), 0)
+        rest = [k for k, c in enumerate(raw_chunks) if out[k] is None and b"<|" not in c]
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            text = f" {SEPARATOR} ".join([raw_chunks[k].decode("utf-8", "surrogatepass") for k in some])
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            self._cut(out, some, ids, np.flatnonzero(ids == self.separator), 1)
+        for k, c in enumerate(raw_chunks):
             if out[k] is None:
-                out[k] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                out[k] = np.array(self.tokenizer.encode(c.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    @staticmethod
+    def _cut(out: list, some: list[int], ids: np.ndarray, cuts: np.ndarray, skip: int) -> None:
+        """Deal the ids out to the chunks they are of; ``skip`` ids stand between two chunks."""
+        raw, at = ids.tobytes(), 0
+        for k, end in zip(some, [*cuts.tolist(), len(ids)], strict=True):
+            out[k] = raw[4 * at : 4 * end]
+            at = end + skip
+
     @staticmethod
     def chunks(text: str) -> list[bytes]:
         """Stretches between blanks and line ends. A-Z go to lower case here, as the tokenizer does it anyhow, but not where that could spell a special string."""
@@ -99,9 +115,8 @@ class ChunkEncoder:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         rows = [self.chunks(t) for t in batch]
-        self.memo.fill(chain.from_iterable(rows), self._new)
-        end, get = np.array([END_ID], "<u4").tobytes(), self.memo.__getitem__
-        return [np.frombuffer(b"".join([*map(get, r), end]), "<u4") for r in rows]
+        end = np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join(x) + end, "<u4") for x in by_row(rows, lambda keys: self.memo.look_up(keys, self._new))]
 
 
 @lru_cache(2)

@@ -18,13 +18,13 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hornspark.llm.common import Memo, map_batches, texts
+from hornspark.llm.common import Memo, by_row, map_batches, texts
 
 BLANK = "▁"
 INF = np.int64(1 << 40)
@@ -267,14 +267,14 @@ def model(path: str) -> PieceModel:
 
 @lru_cache(2)
 def _memo(path: str, kind: str) -> Memo:
-    return Memo(400_000)
+    return Memo(800_000)
 
 
 def encode_texts(batch: list[str], path: str) -> list[np.ndarray]:
     """Ids of each whole text, without begin or end ids."""
     rows, memo, m = [split_words(t) for t in batch], _memo(path, "ids"), model(path)
-    memo.fill(chain.from_iterable(rows), lambda new: m.encode_words([surface_word(k) for k in new]))
-    return [np.concatenate([memo[k] for k in keys]) if keys else np.zeros(0, np.int32) for keys in rows]
+    ids = by_row(rows, lambda keys: memo.look_up(keys, lambda new: m.encode_words([surface_word(k) for k in new])))
+    return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in ids]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -318,9 +318,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         rows = [split_words(t) for t in texts(batch.column(1))]
         counts, ids_sha, text_sha = [], [], []
-        memo.fill(chain.from_iterable(rows), entries)
-        for keys in rows:
-            found = [memo[k] for k in keys]
+        for found in by_row(rows, lambda keys: memo.look_up(keys, entries)):
             counts.append(sum([x[0] for x in found]))
             ids_sha.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
             decoded = b"".join([x[2] for x in found])
