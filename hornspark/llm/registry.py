@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe_counts, fingerprints, near_dups, packing, pieces, quality, top_k, toxicity
+from hornspark.llm import bpe_counts, fingerprints, main_text, near_dups, packing, pieces, quality, top_k, toxicity
 from hornspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_toxicity, op4_token_counts, op5_packing, op7_top_k, op8_near_dups, op9_quality, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_toxicity, op4_token_counts, op5_packing, op6_main_text, op7_top_k, op8_near_dups, op9_quality, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
