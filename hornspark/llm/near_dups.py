@@ -185,3 +185,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scrat
     joined = all_sketches.select("doc_id", "n_shingles", "digest").join(of_head, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: rows of ``docs`` but for those that are linked, directly or not, with a smaller doc_id. Rows without id stay."""
+    scratch = Scratch(spark)
+    found = near_duplicates(docs, scratch=scratch)
+    dropped = scratch.write(found.filter("not kept and doc_id is not null").select("doc_id").distinct())
+    return with_ids(docs, dropped, "left_anti")

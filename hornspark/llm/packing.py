@@ -244,3 +244,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield out
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe_counts, fingerprints, main_text, near_dups, packing, pieces, quality, top_k, toxicity
+from hornspark.llm import bpe_counts, fingerprints, main_text, near_dups, packing, pieces, pii, quality, top_k, toxicity
 from hornspark.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_toxicity, op4_token_counts, op5_packing, op6_main_text, op7_top_k, op8_near_dups, op9_quality, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_toxicity, op4_token_counts, op5_packing, op6_main_text, op7_top_k, op8_near_dups, op9_quality, op10_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
