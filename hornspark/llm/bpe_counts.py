@@ -35,10 +35,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The library writes each byte as a printable character; that alphabet, asked of the library itself, for str.translate of Latin-1."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level, letters = ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for point in chain(range(0x800), range(0x800, 0xD800, 0x40), range(0xE000, 0x10000, 0x40), range(0x10000, 0x110000, 0x1000)):
+        letters.update(zip(chr(point).encode(), "".join(s for s, _ in level.pre_tokenize_str(chr(point))), strict=True))
+    return letters
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -51,14 +60,7 @@ class PrefixCounter:
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.word_pattern = regex.compile(split["pattern"]["Regex"])
         self.end = bpe["end_of_word_suffix"]
-        # The library writes each byte as a printable character; that alphabet comes from the library itself.
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = {}
-        for point in chain(range(0x800), range(0x800, 0xD800, 0x40), range(0xE000, 0x10000, 0x40), range(0x10000, 0x110000, 0x1000)):
-            raw = chr(point).encode()
-            letters.update(zip(raw, "".join(s for s, _ in level.pre_tokenize_str(chr(point))), strict=True))
-        self.letters = letters
-        self.translate = str.maketrans({chr(b): c for b, c in letters.items()})
+        self.translate = byte_letters()
         vocab: dict[str, int] = bpe["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(bpe["merges"])}
         made = {a + b for a, b in self.rank}

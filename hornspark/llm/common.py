@@ -8,11 +8,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hornspark.sources.ship import ship
 
 #: Rows and bytes that an Arrow batch to Python holds at most: texts may be long, and a worker's memory is small.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -44,7 +45,7 @@ def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatc
                 else:
                     yield from out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
 class Memo(dict):

@@ -11,8 +11,8 @@ The steps:
 2. Documents of equal sets form a class; the least doc_id stands for it. Only such heads go on, however many copies there are.
 3. Heads that share a band key are joined to the least head there, never to each other; the components of this
    graph bound where links can lie.
-4. Each such component's full shingle sets meet in tasks of bounded size: a component of more than BLOCK_SHINGLES is
-   dealt into blocks, with a task for each pair of blocks. There a prefix filter finds all pairs that may
+4. Each such component's full shingle sets meet in tasks of bounded size: a component of more than BLOCK_SHINGLES or
+   BLOCK_DOCS is dealt into blocks, with a task for each pair of blocks. There a prefix filter finds all pairs that may
    be similar, intersections are counted exactly, and pairs already connected are skipped. This verification is exact.
 5. Components of the links, carried back to all documents of the classes.
 
@@ -38,8 +38,8 @@ from hornspark.llm.shingles import shingle_sets, with_ids
 from hornspark.sources.scratch import Scratch
 
 BANDS, ROWS = 32, 4
-#: Shingles whose sets one block holds (8 bytes each).
-BLOCK_SHINGLES = 1_000_000
+#: Shingles (8 bytes each) and documents of one block.
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 ROUND = 0x9E3779B97F4A7C15
 
 
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scrat
 
     members = near.select(F.col("a").alias("doc_id"), F.col("b").alias("root")).union(near.select("b", "b").distinct())
     members = scratch.write(members.join(all_sketches.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"))
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("n_blocks"))
     members = scratch.write(members.join(blocks, "root").select("doc_id", "root", "n_blocks"))
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,3 +193,21 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, scratch=scratch)
     dropped = scratch.write(found.filter("not kept and doc_id is not null").select("doc_id").distinct())
     return with_ids(docs, dropped, "left_anti")
+
+
+#: The rows of ``near_duplicates(documents, width=3, percent=85)`` by comparing all pairs that share a shingle.
+ORACLE = """
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as sh from d
+), e as (select doc_id, len(sh) as n, unnest(sh) as x from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), l as (select a, b from p where 100 * c >= 85 * (na + nb - c)
+), edges as (select a, b from l union all select b, a from l
+), reach as (select doc_id as a, doc_id as b from documents union select reach.a, edges.b from reach join edges on reach.b = edges.a
+), least as (select a, min(b) as component_id from reach group by a)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from s join least on least.a = s.doc_id
+"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from hornspark.llm.bpe_counts import counter, default_tokenizer
+from hornspark.llm.bpe_counts import byte_letters, default_tokenizer
 from hornspark.llm.common import Memo, bound_batches, by_row, texts
 
 WINDOW = 4096
@@ -58,11 +58,11 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # The same model for words that need no normalizing, written in the alphabet the library has for bytes.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
-        self.letters = {k: v for k, v in counter(path).translate.items() if k != 32}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.letters = {k: v for k, v in byte_letters().items() if k != 32}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.memo, self.words = Memo(1_000_000), Memo(600_000)
+        self.memo, self.words = Memo(900_000), Memo(400_000)
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.sentence_end[i] = bool(token.removesuffix("</w>")) and not token.removesuffix("</w>").strip(".!?")
@@ -145,7 +145,11 @@ def plan(at: np.ndarray, penalty: np.ndarray) -> list[int]:
     if n < 2:
         return []
     f, back = [0] * n, [0] * n
-    index = dict(zip(p, range(n), strict=True))
+    whole: dict[int, list[int]] = {}  # candidates that lie a power of two back
+    for size in POWERS:
+        i = np.minimum(np.searchsorted(at, at - size), n - 1)
+        for j in np.flatnonzero(at[i] == at - size).tolist():
+            whole.setdefault(j, []).append(int(i[j]))
     queue: deque[tuple[int, int]] = deque()  # (f[i] + p[i], i), rising
     for j in range(1, n):
         i, pj = j - 1, p[j]
@@ -157,10 +161,10 @@ def plan(at: np.ndarray, penalty: np.ndarray) -> list[int]:
             queue.popleft()
         best, who = queue[0]
         best += WINDOW - pj
-        for size in POWERS:
-            i = index.get(pj - size)
-            if i is not None and f[i] < best:
-                best, who = f[i], i
+        if j in whole:
+            for i in whole[j]:
+                if f[i] < best:
+                    best, who = f[i], i
         f[j], back[j] = best + pen[j] + SEQUENCE, who
     out, j = [], n - 1
     while j:

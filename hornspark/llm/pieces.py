@@ -162,10 +162,15 @@ class PieceModel:
         new, owner = self._merge(sym, word, merged, at)
         several = len(at) > len(np.unique(word[at]))
         if several:
+            # As each occurrence is merged, those before it are merged already and those after it aren't: the new
+            # symbol's pair with what stands right of it now, and all pairs of the finished state, have to rank above.
             again, _ = self._ranks(new, owner)
             bound = np.zeros(word[-1] + 1, np.int64)
             bound[word] = least
-            unsafe = np.unique(owner[again <= bound[owner]])
+            right = at[at + 2 < len(word)]
+            right = right[word[right + 2] == word[right]]
+            early, _ = self.pairs(self._symbols(merged[right]), self._symbols(sym[right + 2]))
+            unsafe = np.unique(np.concatenate([owner[again <= bound[owner]], word[right][early <= least[right]]]))
             if len(unsafe):
                 bad = np.isin(word[at], unsafe)
                 first = np.r_[True, word[at][1:] != word[at][:-1]]
@@ -267,7 +272,7 @@ def model(path: str) -> PieceModel:
 
 @lru_cache(2)
 def _memo(path: str, kind: str) -> Memo:
-    return Memo(800_000)
+    return Memo(500_000)
 
 
 def encode_texts(batch: list[str], path: str) -> list[np.ndarray]:

@@ -27,6 +27,8 @@ MOST_ROWS = 2000
 NEIGHBOURS, LATENT, POWER, THRESHOLD = 15, 48, 8, 0.3
 PAIRS, TRIPLES, EXTRA = 32 * 32, 1024, 8
 TERMS = PAIRS + TRIPLES + EXTRA
+#: Bytes of a text looked at together.
+STRETCH = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -61,14 +63,15 @@ def term_vectors(batch: list[str]) -> np.ndarray:
     out = np.zeros((len(batch), TERMS), np.float32)
     for k, t in enumerate(batch):
         raw = t.encode("utf-8", "surrogatepass")
-        cls = CLASS[np.frombuffer(raw, np.uint8)]
         row = out[k]
-        if len(cls) > 1:
+        pairs, triples = np.zeros(PAIRS), np.zeros(TRIPLES)
+        for lo in range(0, len(raw), STRETCH):  # stretches overlap by what a triple needs
+            cls = CLASS[np.frombuffer(raw[lo : lo + STRETCH + 2], np.uint8)]
             pair = cls[:-1] * 32 + cls[1:]
-            row[:PAIRS] = np.bincount(pair, minlength=PAIRS) / len(pair)
-        if len(cls) > 2:
-            triple = (pair[:-1] * 32 + cls[2:]) * 40503 >> 4 & TRIPLES - 1
-            row[PAIRS : PAIRS + TRIPLES] = np.bincount(triple, minlength=TRIPLES) / len(triple)
+            pairs += np.bincount(pair[:STRETCH], minlength=PAIRS)
+            triples += np.bincount((pair[:-1] * 32 + cls[2:])[:STRETCH] * 40503 >> 4 & TRIPLES - 1, minlength=TRIPLES)
+        row[:PAIRS] = pairs / max(1, len(raw) - 1)
+        row[PAIRS : PAIRS + TRIPLES] = triples / max(1, len(raw) - 2)
         words = raw.split()
         n = len(words)
         lines = raw.split(b"\n")

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": top_k.ORACLE}
+    return {"op7_top_k": top_k.ORACLE, "op8_near_dups": near_dups.ORACLE}

@@ -29,9 +29,10 @@ def shingle_sets(batch: Sequence[str], width: int) -> list[np.ndarray]:
     found = [words(t) for t in batch]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((xxh3_64_intdigest(w) for ws in found for w in ws), np.uint64, int(lengths.sum()))
-    rolled = np.zeros(max(0, len(flat) - width + 1), np.uint64)
+    size = max(0, len(flat) - width + 1)
+    rolled = np.zeros(size, np.uint64)
     for k in range(width):
-        rolled = mix(rolled + flat[k : len(flat) - width + 1 + k] + np.uint64(k + 1))
+        rolled = mix(rolled + flat[k : k + size] + np.uint64(k + 1))
     out, at = [], 0
     for ws, n in zip(found, lengths.tolist(), strict=True):
         if n >= width:

@@ -5,7 +5,7 @@ broadcast has a fixed size however many queries there are. Each task holds a run
 of the block and takes its rows tile by tile: one matrix product a tile, a partial selection of the tile's k best,
 a merge into the lists. The tasks' lists meet in two rounds of merging by query.
 
-Components become floor(256 * x). Products are sums of whole numbers: as doubles where all of them are below 2**53, and so exact, else as Python's integers, held to 64 bits.
+Components become floor(256 * x). Products are sums of whole numbers: as doubles where all of them are below 2**53, and so exact, else as Python's integers, held within +-2**62.
 Ties go to the smaller vec_id. A vector without id, empty, null or with a null or non-finite component takes no part; vectors of other lengths than the
 query's are no candidates. A repeated query id is asked once, with the least of its vectors; rows of the query's own id are never
 candidates; other repeated rows count each for themselves. Extra columns aren't read.
@@ -50,7 +50,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if bound < EXACT:
         return (a @ b.T).astype(np.int64)
     whole = [[int(x) for x in row] for row in b]
-    top = (1 << 63) - 1
+    top = 1 << 62
     return np.array([[max(-top, min(top, sum(x * y for x, y in zip(p, q, strict=True)))) for q in whole] for p in ([int(x) for x in row] for row in a)], np.int64).reshape(len(a), len(b))
 
 
