@@ -146,11 +146,16 @@ def _derive(store: Store, rule: Rule, last: int | None) -> list[DataFrame]:
     return out
 
 
-def run_rules(store: Store, rules: list[Rule], *, recursive: bool = True, mode: str = "fast") -> int:
-    """Evaluate until nothing changes; the number of passes. Without recursion one pass is enough."""
+def run_rules(store: Store, rules: list[Rule], *, recursive: bool = True, mode: str = "fast", last: dict[int, int | None] | None = None) -> int:
+    """Evaluate until nothing changes; the number of passes. Without recursion one pass is enough.
+
+    ``last`` keeps, from one call to the next, the epoch of each rule's last run; rules then see only what came since.
+    """
     if mode not in ("fast", "compat"):
         raise ValueError(f"mode is fast or compat, not {mode}")
-    last: dict[int, int | None] = dict.fromkeys(range(len(rules)))
+    last = {} if last is None else last
+    for i in range(len(rules)):
+        last.setdefault(i, None)
     passes = 0
     while True:
         passes += 1
