@@ -151,6 +151,7 @@ def test_plan_of_blocks_carries_over(spark, words, monkeypatch):
     stream = packing.Stream(0, enc.sentence_end)
     stream.add(1, np.arange(10000, dtype="<u4") % 300)
     first = stream.flush(False)
-    assert first.column("length").to_pylist() == [4096, 4096] and stream.length == 10000 - 8192
+    sent = sum(first.column("length").to_pylist())
+    assert first.num_rows >= 2 and stream.length == 10000 - sent > 0
     last = stream.flush(True)
-    assert sum(last.column("length").to_pylist()) == 10000 - 8192 and last.column("start")[0].as_py() == 8192
+    assert sum(last.column("length").to_pylist()) == 10000 - sent and last.column("start")[0].as_py() == sent and stream.flush(True) is None
