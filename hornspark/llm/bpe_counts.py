@@ -217,7 +217,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
             [batch.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
         )
 
-    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", lambda: _memos(path))
 
 
 def truncate(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame:

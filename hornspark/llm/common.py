@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -32,11 +33,12 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema) -> DataFrame:
-    """``work`` on each Arrow batch of ``columns``, without a shuffle. Only these columns are read."""
+def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema, memos: Callable[[], tuple[Memo, ...]] = tuple) -> DataFrame:
+    """``work`` on each Arrow batch of ``columns``, without a shuffle. Only these columns are read. ``memos`` are those that the work uses."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep_only(*memos())
         for b in batches:
             if b.num_rows:
                 out = work(b)
@@ -49,11 +51,28 @@ def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatc
 
 
 class Memo(dict):
-    """Results by word, for as long as they are few: a full memo starts afresh, so its memory has a bound."""
+    """Results by word, for as long as they are few: a full memo starts afresh, so its memory has a bound.
+
+    A worker process serves one operator after another; what an operator remembers goes when another one's task begins.
+    """
+
+    everyone: list[Memo] = []
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit = limit
+        Memo.everyone.append(self)
+
+    @staticmethod
+    def keep_only(*mine: Memo) -> None:
+        gone = [m for m in Memo.everyone if m and not any(m is x for x in mine)]
+        for m in gone:
+            m.clear()
+        if gone:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # freed memory back to the system, where the C library can
+            except (OSError, AttributeError):
+                pass
 
     def look_up(self, keys: list, compute: Callable[[list], Iterable]) -> list:
         """The value of each key; those missing are computed all at once."""

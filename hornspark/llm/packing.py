@@ -40,6 +40,8 @@ BLOCK = 1 << 19
 #: Powers of two tried as window lengths within a block; at a partition's end all are.
 POWERS = (2048, 1024, 512)
 SEPARATOR = "<|startoftext|>"
+#: How ids are remembered; a vocabulary has to fit.
+ID = "<u2"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A chunk in lower case that ends in marks: the word before them, and they.
@@ -62,7 +64,9 @@ class ChunkEncoder:
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = {k: v for k, v in byte_letters().items() if k != 32}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.memo, self.words = Memo(900_000), Memo(400_000)
+        self.memo, self.words = Memo(800_000), Memo(300_000)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.sentence_end[i] = bool(token.removesuffix("</w>")) and not token.removesuffix("</w>").strip(".!?")
@@ -85,16 +89,16 @@ class ChunkEncoder:
             some = plain[lo : lo + 4096]
             text = b" ".join([raw_chunks[k] for k in some]).decode("latin-1").translate(self.letters)
             found = self.bare.encode(text, add_special_tokens=False)
-            self._cut(out, some, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(1, len(some))), 0)
+            self._cut(out, some, np.array(found.ids, ID), np.searchsorted(np.array(found.word_ids), np.arange(1, len(some))), 0)
         rest = [k for k, c in enumerate(raw_chunks) if out[k] is None and b"<|" not in c]
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
             text = f" {SEPARATOR} ".join([raw_chunks[k].decode("utf-8", "surrogatepass") for k in some])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID)
             self._cut(out, some, ids, np.flatnonzero(ids == self.separator), 1)
         for k, c in enumerate(raw_chunks):
             if out[k] is None:
-                out[k] = np.array(self.tokenizer.encode(c.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+                out[k] = np.array(self.tokenizer.encode(c.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, ID).tobytes()
         return out
 
     @staticmethod
@@ -102,7 +106,7 @@ class ChunkEncoder:
         """Deal the ids out to the chunks they are of; ``skip`` ids stand between two chunks."""
         raw, at = ids.tobytes(), 0
         for k, end in zip(some, [*cuts.tolist(), len(ids)], strict=True):
-            out[k] = raw[4 * at : 4 * end]
+            out[k] = raw[2 * at : 2 * end]
             at = end + skip
 
     @staticmethod
@@ -115,8 +119,8 @@ class ChunkEncoder:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         rows = [self.chunks(t) for t in batch]
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(x) + end, "<u4") for x in by_row(rows, lambda keys: self.memo.look_up(keys, self._new))]
+        end = np.array([END_ID], ID).tobytes()
+        return [np.frombuffer(b"".join(x) + end, ID).astype("<u4") for x in by_row(rows, lambda keys: self.memo.look_up(keys, self._new))]
 
 
 @lru_cache(2)
@@ -238,6 +242,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        Memo.keep_only(enc.memo, enc.words)
         stream = Stream(TaskContext.get().partitionId(), enc.sentence_end)
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(texts(b.column(1))), strict=True):

@@ -290,7 +290,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids = encode_texts(texts(batch.column(1)), path)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, ids array<int>")
+    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, ids array<int>", lambda: (_memo(path, "ids"),))
 
 
 def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -332,4 +332,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         )
 
-    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, ["doc_id", "text"], work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: (_memo(path, "digest"),))
