@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Only where it is unset, as in local tests, a folder of our own becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hornspark-")
         spark.conf.set("spark.checkpoint.dir", found)
