@@ -120,6 +120,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = EVERY) -> DataFrame:
     queries = base.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     scratch = Scratch(spark) if n_blocks > 1 else None
+    if scratch:
+        queries = scratch.write(queries)
     parts = []
     for b in range(n_blocks):
         block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow() if n_blocks > 1 else queries.toArrow()
