@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -50,22 +51,26 @@ def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatc
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
-class Memo(dict):
-    """Results by word, for as long as they are few: a full memo starts afresh, so its memory has a bound.
+class Memo:
+    """Results by word in two generations, for a bound on memory.
 
-    A worker process serves one operator after another; what an operator remembers goes when another one's task begins.
+    When the young generation is full it becomes the old one, and what the former old one held is forgotten unless
+    it was asked for meanwhile. A worker process serves one operator after another; what an operator remembers goes
+    when another one's task begins.
     """
 
     everyone: list[Memo] = []
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
+        self.limit, self.young, self.old = limit // 2, {}, {}
         Memo.everyone.append(self)
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     @staticmethod
     def keep_only(*mine: Memo) -> None:
-        gone = [m for m in Memo.everyone if m and not any(m is x for x in mine)]
+        gone = [m for m in Memo.everyone if m.young and not any(m is x for x in mine)]
         for m in gone:
             m.clear()
         if gone:
@@ -76,15 +81,21 @@ class Memo(dict):
 
     def look_up(self, keys: list, compute: Callable[[list], Iterable]) -> list:
         """The value of each key; those missing are computed all at once."""
-        out = list(map(self.get, keys))
-        gaps = [i for i, v in enumerate(out) if v is None]
+        young = self.young
+        out = list(map(young.get, keys))
+        gaps = list(compress(range(len(out)), map(is_, out, repeat(None))))
         if gaps:
-            missing = list({keys[i] for i in gaps})
-            if len(self) + len(missing) > self.limit:
-                self.clear()
-            self.update(zip(missing, compute(missing), strict=True))
+            wanted = {keys[i] for i in gaps}
+            if len(young) + len(wanted) > self.limit:
+                self.young, self.old = {}, young  # what the former old generation held is gone
+                young = self.young
+            old = self.old
+            found = {k: old[k] for k in wanted if k in old} if old else {}
+            missing = [k for k in wanted if k not in found] if found else list(wanted)
+            found.update(zip(missing, compute(missing), strict=True))
+            young.update(found)
             for i in gaps:
-                out[i] = self[keys[i]]
+                out[i] = found[keys[i]]
         return out
 
 

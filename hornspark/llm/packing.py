@@ -64,18 +64,19 @@ class ChunkEncoder:
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = {k: v for k, v in byte_letters().items() if k != 32}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.memo, self.words = Memo(800_000), Memo(300_000)
+        self.memo, self.words = Memo(1_000_000), Memo(500_000)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.sentence_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.sentence_end, self.word_end = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
         for token, i in self.tokenizer.get_vocab().items():
+            self.word_end[i] = token.endswith("</w>")
             self.sentence_end[i] = bool(token.removesuffix("</w>")) and not token.removesuffix("</w>").strip(".!?")
 
     def _new(self, raw_chunks: list[bytes]) -> list[bytes]:
         """A letter or digit and the marks after it are never in one token, so words are encoded once whatever marks follow them."""
         cores, tails = [], []
         for c in raw_chunks:
-            m = MARKS_AFTER_WORD.fullmatch(c)
+            m = None if c.isalpha() else MARKS_AFTER_WORD.fullmatch(c)
             cores.append(m[1] if m else c)
             tails.append(m[2] if m else b"")
         words = self.words.look_up(cores + tails, self._library)
@@ -84,12 +85,12 @@ class ChunkEncoder:
     def _library(self, raw_chunks: list[bytes]) -> list[bytes]:
         """Plain words, which the normalizer leaves alone and the pattern whole, go to the model at once; others through the whole tokenizer."""
         out: list[bytes | None] = [None] * len(raw_chunks)
-        plain = [k for k, c in enumerate(raw_chunks) if PLAIN_WORD.fullmatch(c)]
+        plain = [k for k, c in enumerate(raw_chunks) if c.isalpha() and c.islower() or PLAIN_WORD.fullmatch(c)]
         for lo in range(0, len(plain), 4096):
             some = plain[lo : lo + 4096]
             text = b" ".join([raw_chunks[k] for k in some]).decode("latin-1").translate(self.letters)
-            found = self.bare.encode(text, add_special_tokens=False)
-            self._cut(out, some, np.array(found.ids, ID), np.searchsorted(np.array(found.word_ids), np.arange(1, len(some))), 0)
+            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, ID)
+            self._cut(out, some, ids, np.flatnonzero(self.word_end[ids])[:-1] + 1, 0)
         rest = [k for k, c in enumerate(raw_chunks) if out[k] is None and b"<|" not in c]
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
