@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress, repeat
+from itertools import chain, compress, islice, repeat
 from operator import is_
 
 import numpy as np
@@ -101,11 +101,9 @@ class Memo:
 
 def by_row(rows: list[list], look_up: Callable[[list], list]) -> Iterator[list]:
     """The looked-up values of each row, all rows looked up together."""
-    found = look_up(list(chain.from_iterable(rows)))
-    at = 0
+    found = iter(look_up(list(chain.from_iterable(rows))))
     for r in rows:
-        yield found[at : at + len(r)]
-        at += len(r)
+        yield list(islice(found, len(r)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -35,6 +35,8 @@ WINDOW = 4096
 END_ID = 2
 #: Costs in ids of padding: a cut at a sentence's end, a cut inside one, and each sequence as such.
 SENTENCE, INSIDE, SEQUENCE = 6, 24, 48
+#: Of the sentence ends in a stretch of so many ids the first is a candidate.
+SPACING = 16
 #: Ids in a block: what a task holds and plans at once.
 BLOCK = 1 << 19
 #: Powers of two tried as window lengths within a block; at a partition's end all are.
@@ -74,13 +76,16 @@ class ChunkEncoder:
 
     def _new(self, raw_chunks: list[bytes]) -> list[bytes]:
         """A letter or digit and the marks after it are never in one token, so words are encoded once whatever marks follow them."""
-        cores, tails = [], []
-        for c in raw_chunks:
-            m = None if c.isalpha() else MARKS_AFTER_WORD.fullmatch(c)
-            cores.append(m[1] if m else c)
-            tails.append(m[2] if m else b"")
-        words = self.words.look_up(cores + tails, self._library)
-        return [a + b if b else a for a, b in zip(words[: len(cores)], words[len(cores) :], strict=True)]
+        cores, tails, marked = list(raw_chunks), [], []
+        for k, c in enumerate(raw_chunks):
+            if not c.isalpha() and (m := MARKS_AFTER_WORD.fullmatch(c)):
+                cores[k] = m[1]
+                tails.append(m[2])
+                marked.append(k)
+        out = self.words.look_up(cores, self._library)
+        for k, tail in zip(marked, self.words.look_up(tails, self._library), strict=True):
+            out[k] = out[k] + tail
+        return out
 
     def _library(self, raw_chunks: list[bytes]) -> list[bytes]:
         """Plain words, which the normalizer leaves alone and the pattern whole, go to the model at once; others through the whole tokenizer."""
@@ -89,13 +94,13 @@ class ChunkEncoder:
         for lo in range(0, len(plain), 4096):
             some = plain[lo : lo + 4096]
             text = b" ".join([raw_chunks[k] for k in some]).decode("latin-1").translate(self.letters)
-            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, ID)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
             self._cut(out, some, ids, np.flatnonzero(self.word_end[ids])[:-1] + 1, 0)
         rest = [k for k, c in enumerate(raw_chunks) if out[k] is None and b"<|" not in c]
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
             text = f" {SEPARATOR} ".join([raw_chunks[k].decode("utf-8", "surrogatepass") for k in some])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
             self._cut(out, some, ids, np.flatnonzero(ids == self.separator), 1)
         for k, c in enumerate(raw_chunks):
             if out[k] is None:
@@ -132,7 +137,7 @@ def encoder(path: str) -> ChunkEncoder:
 def candidates(length: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of possible cuts, ascending, the first 0 and the last ``length``, and their penalties."""
     penalty = np.full(length + 1, -1, np.int64)
-    penalty[sentence_ends] = SENTENCE
+    penalty[sentence_ends[np.diff(sentence_ends // SPACING, prepend=-1) != 0]] = SENTENCE
     penalty[doc_ends] = 0
     penalty[0] = penalty[length] = 0
     at = np.flatnonzero(penalty >= 0)
