@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from hornspark.llm.bpe_counts import byte_letters, default_tokenizer
-from hornspark.llm.common import Memo, bound_batches, by_row, texts
+from hornspark.llm.common import Memo, bound_batches, by_row
 
 WINDOW = 4096
 END_ID = 2
@@ -66,7 +66,7 @@ class ChunkEncoder:
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = {k: v for k, v in byte_letters().items() if k != 32}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.memo, self.words = Memo(1_000_000), Memo(500_000)
+        self.memo, self.words = Memo(1_100_000), Memo(550_000)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.sentence_end, self.word_end = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
@@ -116,14 +116,14 @@ class ChunkEncoder:
             at = end + skip
 
     @staticmethod
-    def chunks(text: str) -> list[bytes]:
+    def chunks(text: bytes | str) -> list[bytes]:
         """Stretches between blanks and line ends. A-Z go to lower case here, as the tokenizer does it anyhow, but not where that could spell a special string."""
-        raw = text.encode("utf-8", "surrogatepass")
-        if "<|" not in text:
+        raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+        if b"<|" not in raw:
             raw = raw.lower()
         return raw.replace(b"\n", b" ").split(b" ")
 
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
+    def encode(self, batch: list[bytes] | list[str]) -> list[np.ndarray]:
         rows = [self.chunks(t) for t in batch]
         end = np.array([END_ID], ID).tobytes()
         return [np.frombuffer(b"".join(x) + end, ID).astype("<u4") for x in by_row(rows, lambda keys: self.memo.look_up(keys, self._new))]
@@ -161,21 +161,25 @@ def plan(at: np.ndarray, penalty: np.ndarray) -> list[int]:
         for j in np.flatnonzero(at[i] == at - size).tolist():
             whole.setdefault(j, []).append(int(i[j]))
     queue: deque[tuple[int, int]] = deque()  # (f[i] + p[i], i), rising
+    pop, push, shift = queue.pop, queue.append, queue.popleft
+    value = 0  # f + p of candidate j - 1
     for j in range(1, n):
-        i, pj = j - 1, p[j]
-        value = f[i] + p[i]
+        pj = p[j]
         while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, i))
-        while p[queue[0][1]] < pj - WINDOW:
-            queue.popleft()
+            pop()
+        push((value, j - 1))
         best, who = queue[0]
+        while p[who] < pj - WINDOW:
+            shift()
+            best, who = queue[0]
         best += WINDOW - pj
         if j in whole:
             for i in whole[j]:
                 if f[i] < best:
                     best, who = f[i], i
-        f[j], back[j] = best + pen[j] + SEQUENCE, who
+        f[j] = best = best + pen[j] + SEQUENCE
+        back[j] = who
+        value = best + pj
     out, j = [], n - 1
     while j:
         out.append(p[j])
@@ -251,7 +255,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         Memo.keep_only(enc.memo, enc.words)
         stream = Stream(TaskContext.get().partitionId(), enc.sentence_end)
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(texts(b.column(1))), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                 stream.add(doc_id, ids)
                 if stream.length >= BLOCK and (out := stream.flush(False)):
                     yield out
