@@ -10,11 +10,14 @@ for unseen words), the models are
 
 L and L_v are the larger of the classes' backoff masses, and k_c, k_cv scale what remains so that each sums to one.
 Thus backoff weight and backoff distribution are shared: a word or pair that neither class supports says nothing, and a
-rare one says little. One whose counts could well be chance (a likelihood-ratio
-statistic G2 below SIGNIFICANT) or whose ratio is below MILD backs off wholly. A text's evidence is the length-normalised difference of its log-likelihoods, over the whole text and in
+rare one says little. Where a class has not seen v, its backoff mass is all, so L_v is 1 and either class has p_c(w) there.
+As this alone lets the many rare words of long texts drown the telling ones (figures in the README), both classes back off further, log-linearly, to what they share:
+p_c ** h times shared ** (1 - h), so that a log ratio counts h times. h falls smoothly, never to 0, where the counts could well be chance
+(a likelihood-ratio statistic G2 around SIGNIFICANT and below) and, for words, where the ratio is around MILD and below. Every counted word and pair is scored; none is dropped.
+A text's evidence is the length-normalised difference of its log-likelihoods, over the whole text and in
 its worst stretch of WINDOW words; a logistic curve, fitted on sample rows kept out of the counts, turns both into a score.
 
-The model is broadcast; it holds at most MOST_ENTRIES words and as many pairs, those of the largest |log ratio| * count first. Null and
+The model is broadcast; it holds every word of the counted texts, and every pair whose ratio isn't its word's own. Null and
 empty texts get the score of no evidence. Without labels of both classes every score is 0. Texts are read whole; doc_id
 only tells held-out rows, and lang, source and other columns are not read.
 """
@@ -25,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +39,13 @@ from hornspark.sources.scratch import Scratch
 
 #: Labelled rows of each class that the models are fitted on at most; a quarter of them calibrates.
 MOST_ROWS = {0: 6000, 1: 3000}
-MOST_ENTRIES = 150_000
 WINDOW = 24
-#: G2 of a word's or pair's counts, below which they are taken for chance.
+#: G2 of a word's or pair's counts at which half of the log ratio is left, as below it they are more and more taken for chance.
 SIGNIFICANT = 12.0
-#: A word's log ratio below which it is taken for language, topic or length, which the labels were not about.
+#: A word's log ratio at which half of it is left, as below it is more and more taken for language, topic or length, which the labels were not about.
 MILD = 1.5
+#: How fast both fall.
+STEEP = 4
 WORD = regex.compile(r"\w+")
 
 
@@ -51,44 +56,56 @@ def words(text: str) -> list[str]:
 class RatioModel:
     """Log ratios of words and of pairs, toxic over ordinary."""
 
-    def __init__(self, unigrams: list[tuple[str, float]], bigrams: list[tuple[str, str, float]]):
-        """``bigrams`` hold what a pair adds to its second word's own ratio."""
-        names = sorted({w for w, _ in unigrams} | {w for a, b, _ in bigrams for w in (a, b)})
-        self.index = {w: i + 1 for i, w in enumerate(names)}
-        self.uni = np.zeros(len(names) + 1)
-        for w, x in unigrams:
-            self.uni[self.index[w]] = x
+    def __init__(self, unigrams: pa.Table, bigrams: pa.Table):
+        """w, ratio of every word; v, w, extra of pairs, where extra is what a pair adds to its second word's own ratio. v is empty at a text's start."""
+        names = pa.array(sorted({"", *unigrams["w"].to_pylist()}), pa.string())
+        self.index = {w: i + 1 for i, w in enumerate(names.to_pylist())}
         size = len(names) + 1
-        keys = np.array([self.index[a] * size + self.index[b] for a, b, _ in bigrams] + [-1], np.int64)
+        self.uni = np.zeros(size)
+
+        def ids(words: pa.ChunkedArray) -> np.ndarray:
+            return pc.index_in(words, names).to_numpy().astype(np.int64) + 1
+
+        if len(unigrams):
+            self.uni[ids(unigrams["w"])] = unigrams["ratio"].to_numpy()
+        keys, extra = np.array([-1], np.int64), np.zeros(1)
+        if len(bigrams):
+            keys = np.concatenate([keys, ids(bigrams["v"]) * size + ids(bigrams["w"])])
+            extra = np.concatenate([extra, bigrams["extra"].to_numpy()])
         order = np.argsort(keys)
-        self.keys, self.extra = keys[order], np.array([x for _, _, x in bigrams] + [0.0])[order]
-        self.first = np.zeros(size, bool)
-        self.first[[self.index[a] for a, _, _ in bigrams]] = True
+        self.keys, self.extra = keys[order], extra[order]
         self.curve = (np.zeros(4), np.zeros(4), np.ones(4))
 
     def evidence(self, text: str) -> tuple[float, float, float, float]:
         """Mean log ratio, that of the worst stretch, and both times the square root of the length's logarithm."""
-        get = self.index.get
-        found = words(text)
-        n = len(found)
-        if not n:
-            return (0.0, 0.0, 0.0, 0.0)
-        ids = np.fromiter((get(w, 0) for w in found), np.int64, n)
-        ratio = self.uni[ids]
-        at = np.flatnonzero(self.first[ids[:-1]] & (ids[1:] > 0))
-        if len(at):
-            keys = ids[at] * len(self.uni) + ids[at + 1]
-            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[slot] == keys
-            ratio[at[hit] + 1] += self.extra[slot[hit]]
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        k = min(WINDOW, n)
-        mean, worst = total[-1] / n, float((total[k:] - total[:-k]).max()) / WINDOW
-        scale = np.sqrt(np.log1p(n))
-        return (mean, worst, mean * scale, worst * scale)
+        return self.evidences([text])[0]
+
+    def evidences(self, batch: list[str]) -> list[tuple[float, float, float, float]]:
+        """Of each text; the pairs of all are looked up at once, in ascending order, which is much faster."""
+        get, start = self.index.get, self.index[""]
+        rows = [np.array([start, *(get(w, 0) for w in words(t))], np.int64) for t in batch]
+        keys = np.concatenate([r[:-1] * len(self.uni) + r[1:] for r in rows] + [np.zeros(0, np.int64)])
+        order = np.argsort(keys)
+        slot = np.searchsorted(self.keys, keys[order])
+        slot = np.minimum(slot, len(self.keys) - 1)
+        extra = np.zeros(len(keys))
+        extra[order] = np.where(self.keys[slot] == keys[order], self.extra[slot], 0.0)
+        out, at = [], 0
+        for r in rows:
+            n = len(r) - 1
+            if not n:
+                out.append((0.0, 0.0, 0.0, 0.0))
+                continue
+            total = np.concatenate([[0.0], np.cumsum(self.uni[r[1:]] + extra[at : at + n])])
+            at += n
+            k = min(WINDOW, n)
+            mean, worst = total[-1] / n, float((total[k:] - total[:-k]).max()) / WINDOW
+            scale = np.sqrt(np.log1p(n))
+            out.append((mean, worst, mean * scale, worst * scale))
+        return out
 
     def scores(self, batch: list[str]) -> np.ndarray:
-        x = np.array([self.evidence(t) for t in batch]).reshape(-1, 4)
+        x = np.array(self.evidences(batch)).reshape(-1, 4)
         weights, mean, spread = self.curve
         return 1 / (1 + np.exp(-np.clip((x - mean) / spread @ weights[: x.shape[1]] + self.bias, -30, 30)))
 
@@ -140,8 +157,13 @@ def _g2(n0: Column, n1: Column, share1) -> Column:
     return 2 * (part(n0, 1 - share1) + part(n1, share1))
 
 
+def _half_at(x: Column, half: float) -> Column:
+    """From 0 to 1 as x grows; one half at ``half``."""
+    return 1 / (1 + F.pow(half / F.greatest(x, F.lit(1e-9)), STEEP))
+
+
 def build(pairs: DataFrame) -> RatioModel:
-    """The models' log ratios from the pair counts, all by aggregations; only the bounded tables come to the driver."""
+    """The models' log ratios from the pair counts, all by aggregations; the words and pairs of the bounded sample come to the driver."""
 
     def occurrences(c: str) -> list:
         return [F.count_if(F.col(c) == k).alias(f"{c}_{k}") for k in (1, 2)]
@@ -150,7 +172,7 @@ def build(pairs: DataFrame) -> RatioModel:
     u = uni.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.sum("before").alias("types"), F.count("*").alias("V"), F.count_if(F.col("n0") > 0).alias("T0"), F.count_if(F.col("n1") > 0).alias("T1"), *occurrences("n0"), *occurrences("n1")).first()
     p = pairs.agg(*occurrences("n0"), *occurrences("n1")).first()
     if not u["N0"] or not u["N1"]:
-        return RatioModel([], [])
+        return RatioModel(*(pa.table({c: [] for c in names}) for names in (("w", "ratio"), ("v", "w", "extra"))))
     d1 = _discount(u["n0_1"] + u["n1_1"], u["n0_2"] + u["n1_2"])
     d2 = _discount(p["n0_1"] + p["n1_1"], p["n0_2"] + p["n1_2"])
     masses = [d1 * u[f"T{c}"] / u[f"N{c}"] for c in (0, 1)]
@@ -162,24 +184,21 @@ def build(pairs: DataFrame) -> RatioModel:
         return F.lit(kept) * F.greatest(F.col(f"n{c}") - d1, F.lit(0.0)) / u[f"N{c}"] + F.lit(shared) * q
 
     uni = uni.select("w", "n0", "n1", unigram(0).alias("p0"), unigram(1).alias("p1")).withColumn("ratio", F.log(F.col("p1") / F.col("p0")))
-    share1 = F.lit(u["N1"] / (u["N0"] + u["N1"]))
-    best = uni.filter((F.abs("ratio") >= MILD) & (_g2(F.col("n0"), F.col("n1"), share1) >= SIGNIFICANT)).withColumn("gain", F.abs("ratio") * (F.col("n0") + F.col("n1")))
-    unigrams = [(r["w"], r["ratio"]) for r in best.orderBy(F.desc("gain"), "w").limit(MOST_ENTRIES).select("w", "ratio").toLocalIterator()]
-
     context = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
-    common = pairs.filter(F.col("n0") + F.col("n1") >= 4).join(context.filter("c0 > 0 and c1 > 0"), "v").join(uni.select("w", "p0", "p1", "ratio"), "w")
+    # Where a class has no v its backoff mass is 1, and so is L_v: extra is 0 for all such pairs, and they need no entry.
+    every = pairs.join(context.filter("c0 > 0 and c1 > 0"), "v").join(uni.select("w", "p0", "p1", "ratio"), "w")
     backoff = F.greatest(d2 * F.col("t0") / F.col("c0"), d2 * F.col("t1") / F.col("c1"))
 
     def bigram(c: int):
         kept = (1 - backoff) / (1 - d2 * F.col(f"t{c}") / F.col(f"c{c}"))
         return kept * F.greatest(F.col(f"n{c}") - d2, F.lit(0.0)) / F.col(f"c{c}") + backoff * F.col(f"p{c}")
 
-    common = common.withColumn("extra", F.log(bigram(1) / bigram(0)) - F.col("ratio"))
+    share1 = F.lit(u["N1"] / (u["N0"] + u["N1"]))
+    words_ratio = F.col("ratio") * _half_at(F.abs("ratio"), MILD) * _half_at(_g2(F.col("n0"), F.col("n1"), share1), SIGNIFICANT)
     # By chance w would follow v in either class as often as v occurs there and w's own ratio says.
     tilt = F.col("c1") * F.exp("ratio")
-    chosen = common.filter(_g2(F.col("n0"), F.col("n1"), tilt / (F.col("c0") + tilt)) >= SIGNIFICANT).withColumn("gain", F.abs("extra") * (F.col("n0") + F.col("n1")))
-    bigrams = [(r["v"], r["w"], r["extra"]) for r in chosen.orderBy(F.desc("gain"), "v", "w").limit(MOST_ENTRIES).select("v", "w", "extra").toLocalIterator()]
-    return RatioModel(unigrams, bigrams)
+    extra = (F.log(bigram(1) / bigram(0)) - F.col("ratio")) * _half_at(_g2(F.col("n0"), F.col("n1"), tilt / (F.col("c0") + tilt)), SIGNIFICANT)
+    return RatioModel(uni.select("w", words_ratio.alias("ratio")).toArrow(), every.select("v", "w", extra.alias("extra")).toArrow())
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> RatioModel | None:
@@ -194,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> RatioModel
     shared = spark.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([shared.value.evidence(t) for t in texts(batch.column(1))])
+        found = np.array(shared.value.evidences(texts(batch.column(1)))).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *(pa.array(found[:, k]) for k in range(4))], ["doc_id", "label", "a", "b", "c", "d"])
 
     found = map_batches(rows.filter(calibrates), ["doc_id", "text", "label"], work, "doc_id long, label int, a double, b double, c double, d double").toArrow().sort_by("doc_id")
@@ -213,7 +232,7 @@ def _scores(model: RatioModel | None, batch: list[str]) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column))  # at most 2 * MOST_ENTRIES entries
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, texts(batch.column(1))))], ["doc_id", "score"])

@@ -56,6 +56,17 @@ def test_classifiers_without_labels_or_rows(spark):
     assert quality.score(docs.limit(0), labels).count() == toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_every_counted_word_and_pair_is_scored(spark):
+    rows = [("", "a", 30, 1), ("a", "b", 20, 2), ("a", "c", 2, 0), ("a", "rare", 0, 1), ("b", "c", 1, 1), ("", "foul", 0, 9), ("foul", "b", 0, 3)]
+    model = toxicity.build(spark.createDataFrame(rows, "v string, w string, n0 long, n1 long"))
+    assert all(model.evidence(w)[0] for w in ("a", "b", "c", "rare", "foul")) and model.evidence("unseen")[0] == 0
+    assert model.evidence("rare")[0] > 0 > model.evidence("a")[0]
+    size = len(model.uni)
+    assert {model.index[v] * size + model.index[w] for v, w, _, _ in rows if v != "foul"} <= set(model.keys.tolist())
+    own = sum(model.uni[model.index[w]] for w in ("a", "c"))
+    assert abs(2 * model.evidence("a c")[0] - own) > 1e-12  # pairs say more than their words, the first of a text too
+
+
 # --- personal data ---
 
 PATTERNS = {
