@@ -2,13 +2,14 @@
 
 The scanner is one regular expression over the whole page. It follows the parts of the HTML standard that
 shape text: raw-text elements, comments, omitted end tags of p, li, dt, dd, option and table parts, stray end tags, a page cut
-off anywhere. Inline tags don't break a block.
+off anywhere. Inline tags don't break a block. Elements may be nested to any depth: what a block's ancestors are is counted as they open and close.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 TAG = re.compile(
@@ -34,8 +35,8 @@ SPACE = re.compile(r"\s+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags from the outermost in
-    names: tuple[str, ...]  # class, id and role words of all ancestors
+    path: tuple[str, ...]  # the ancestors' different tags, the innermost's last
+    names: tuple[str, ...]  # different class, id and role words of all ancestors
     link_chars: int
     in_form: bool
 
@@ -57,6 +58,8 @@ def attribute_words(attrs: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    tags: Counter[str] = Counter()  # of the elements in the stack
+    words: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -66,17 +69,33 @@ def leaf_blocks(page: str) -> list[Block]:
     def flush() -> None:
         text = clean("".join(parts))
         if text:
-            path = tuple(t for t, _ in stack if t not in INLINE or t == "label")
-            names = tuple(n for _, ns in stack for n in ns)
+            last = next((t for t, _ in reversed(stack) if t not in INLINE or t == "label"), None)
+            path = (*(t for t in tags if t != last and (t not in INLINE or t == "label")), last) if last else ()
+            names = tuple(words)
             blocks.append(Block(text, path, names, min(len(text), len(clean("".join(links)))), "form" in path))
         parts.clear()
         links.clear()
 
-    def pop_to(k: int) -> None:
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal in_link
+        stack.append((tag, names))
+        tags[tag] += 1
+        words.update(names)
+        in_link += tag == "a"
+
+    def drop(k: int, stop: int) -> None:
         nonlocal in_link
-        for t, _ in stack[k:]:
-            in_link -= t == "a"
-        del stack[k:]
+        for tag, names in stack[k:stop]:
+            in_link -= tag == "a"
+            for counts, keys in ((tags, (tag,)), (words, names)):
+                for x in keys:
+                    counts[x] -= 1
+                    if not counts[x]:
+                        del counts[x]
+        del stack[k:stop]
+
+    def pop_to(k: int) -> None:
+        drop(k, len(stack))
 
     def add(text: str) -> None:
         if text:
@@ -117,8 +136,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        in_link -= name == "a"
-                        del stack[k]
+                        drop(k, k + 1)
                         break
                     if stack[k][0] not in INLINE:
                         break
@@ -126,15 +144,13 @@ def leaf_blocks(page: str) -> list[Block]:
                 if name == "a" and in_link:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == "a":
-                            del stack[k]
-                            in_link -= 1
+                            drop(k, k + 1)
                             break
-                stack.append((name, attribute_words(attrs) if name != "a" and attrs else ()))
-                in_link += name == "a"
+                push(name, attribute_words(attrs) if name != "a" and attrs else ())
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if name in tags else ():
                 if stack[k][0] == name:
                     pop_to(k)
                     break
@@ -153,7 +169,6 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[k][0] in ("ul", "ol", "table", "dl", "select"):
                     break
         if name not in VOID:
-            if len(stack) < 200:
-                stack.append((name, attribute_words(attrs) if attrs else ()))
+            push(name, attribute_words(attrs) if attrs else ())
     flush()
     return blocks

@@ -204,6 +204,11 @@ def test_leaf_blocks_structure():
     assert [(b.text, b.path[-1] if b.path else "") for b in found] == [("ab", "div"), ("c", "p"), ("d", "p"), ("1", "td"), ("2", "td"), ("3", "td"), ("e", "")]
 
 
+def test_deep_nesting():
+    page = '<div class="content">' + "<div>" * 300 + "<section>a</section>" + "</div>" * 300 + "<p>b</p></div><p>c"
+    assert [(b.text, b.path, b.names) for b in leaf_blocks(page)] == [("a", ("div", "section"), ("content",)), ("b", ("div", "p"), ("content",)), ("c", ("p",), ())]
+
+
 # --- top-k ---
 
 
