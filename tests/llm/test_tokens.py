@@ -155,3 +155,9 @@ def test_plan_of_blocks_carries_over(spark, words, monkeypatch):
     assert first.num_rows >= 2 and stream.length == 10000 - sent > 0
     last = stream.flush(True)
     assert sum(last.column("length").to_pylist()) == 10000 - sent and last.column("start")[0].as_py() == sent and stream.flush(True) is None
+
+
+def test_every_sentence_end_is_a_candidate():
+    ends = np.array([3, 5, 9, 14, 17, 30])
+    at, penalty = packing.candidates(40, np.array([40]), ends)
+    assert [p for p, c in zip(at.tolist(), penalty.tolist(), strict=True) if c == packing.SENTENCE] == ends.tolist()
