@@ -1,8 +1,8 @@
 """Packing documents into training sequences by order-preserving dynamic programming.
 
 A partition's documents form one stream of token ids in the order they are read; no shuffle is needed. Windows
-of at most 4096 ids cut the stream. Candidates for cuts are the ends of documents (free) and of sentences (a small penalty); in a sentence
-longer than a window every 4096th id is one, too (a larger penalty). With p the candidates' positions, the cost of the best cuts up to p[j] is
+of at most 4096 ids cut the stream. Candidates for cuts are the ends of documents (free) and of sentences (a small penalty); in a stretch
+of over GRID ids without either, every GRID-th id is one, too (a larger penalty). With p the candidates' positions, the cost of the best cuts up to p[j] is
 
     f[j] = penalty[j] + SEQUENCE + min over i with p[j] - p[i] <= 4096 of (f[i] + padding(p[j] - p[i]))
 
@@ -35,6 +35,8 @@ WINDOW = 4096
 END_ID = 2
 #: Costs in ids of padding: a cut at a sentence's end, a cut inside one, and each sequence as such.
 SENTENCE, INSIDE, SEQUENCE = 6, 24, 48
+#: Distance of the candidates inside a long sentence, or a text without recognised sentence ends.
+GRID = 64
 #: Ids in a block: what a task holds and plans at once.
 BLOCK = 1 << 19
 #: Powers of two tried as window lengths within a block; at a partition's end all are.
@@ -138,10 +140,9 @@ def candidates(length: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) ->
     penalty[sentence_ends] = SENTENCE
     penalty[doc_ends] = 0
     penalty[0] = penalty[length] = 0
-    at = np.flatnonzero(penalty >= 0)
-    for k in np.flatnonzero(np.diff(at) > WINDOW):  # sentences longer than a window
-        inside = np.arange(at[k] + WINDOW, at[k + 1], WINDOW)
-        penalty[inside] = INSIDE
+    every = np.arange(length + 1)
+    since = every - np.maximum.accumulate(np.where(penalty >= 0, every, 0))  # ids since the last candidate
+    penalty[(since > 0) & (since % GRID == 0)] = INSIDE
     at = np.flatnonzero(penalty >= 0)
     return at, penalty[at]
 

@@ -161,3 +161,13 @@ def test_every_sentence_end_is_a_candidate():
     ends = np.array([3, 5, 9, 14, 17, 30])
     at, penalty = packing.candidates(40, np.array([40]), ends)
     assert [p for p, c in zip(at.tolist(), penalty.tolist(), strict=True) if c == packing.SENTENCE] == ends.tolist()
+
+
+def test_little_padding_without_sentence_ends():
+    lengths = np.array([100, 4200] * 40)
+    ends = np.cumsum(lengths)
+    cuts = packing.plan(*packing.candidates(int(ends[-1]), ends, np.array([], int)))
+    windows = np.diff([0, *cuts])
+    assert windows.sum() == ends[-1] and windows.max() <= packing.WINDOW
+    padding = sum(0 if n in (*packing.POWERS, packing.WINDOW) else packing.WINDOW - n for n in windows[:-1].tolist())
+    assert padding < 0.02 * packing.WINDOW * len(windows)
