@@ -39,7 +39,7 @@ AT, DOT = r"(?:\[at\]|\(at\)|\{at\}|\x20at\x20)", r"(?:\.|\[dot\]|\(dot\)|\{dot\
 #: Generators: kind, what a text must hold, pattern.
 GENERATORS = (
     ("email", "@", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+"),
-    ("email", r"(?i)[\[({\x20]dot[\])}\x20]|[\[({]at[\])}]", rf"(?i)(?<!{LOCAL}){LOCAL}++\x20?{AT}\x20?{LABEL}++(?:\x20?{DOT}\x20?{LABEL}++)++"),
+    ("email", r"(?i)[\[({\x20]dot[\])}\x20]|[\[({]at[\])}]|\x20at\x20\x20?[A-Za-z0-9-]++\x20?\.\x20?[A-Za-z0-9-]", rf"(?i)(?<!{LOCAL}){LOCAL}++\x20?{AT}\x20?{LABEL}++(?:\x20?{DOT}\x20?{LABEL}++)++"),
     ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::", r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{0,4}+(?![\p{L}\p{N}:])"),
     ("ip", r"[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]", r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\[dot\]|\.)[0-9]{1,3}+){3}+"),
     ("card", r"[0-9][\x20._/-]{0,2}[0-9][\x20._/-]{0,2}[0-9][\x20._/-]{0,2}[0-9]", r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,22}+(?![0-9])"),
@@ -183,7 +183,7 @@ def _example(rng: random.Random) -> tuple[str, int, str]:
     kind = rng.randrange(11)
     if kind == 0:
         name, host = rng.choice([word(), f"{word()}.{word()}", f"{word()}{num(2)}"]), f"{word()}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
-        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", "{dot}"), ("@", ".")])
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", "{dot}"), (" at ", "."), ("@", ".")])
         name = name + rng.choice(["é", "ü", ""]) if at == "@" else name
         value, label, before = name + at + host.replace(".", dot), 0, "mail me at" if at != " at " else "email"
         if at == "@":
@@ -212,7 +212,7 @@ def _example(rng: random.Random) -> tuple[str, int, str]:
         value = rng.choice([
             f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(2)}:{num(2)}",
             _luhn_number(rng, rng.choice([12, 13, 15, 16, 16, 16, 18]), False), _luhn_number(rng, 16, False), num(rng.randint(4, 11)), f"{num(3)} {num(3)}", f"{num(4)} {num(4)} {num(2)}", f"{rng.randint(1, 9)}.{num(1)}.{num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
-            f"{num(2)}.{num(2)}", f"{rng.randint(1, 99)},{num(3)},{num(3)}", f"{word()} at {word()}", f"{word()}@{word()}", f"{num(3)}-{num(2)}", f"1990-{num(4)}", f"{num(5)} {num(5)}", f"{word(1, 3)}::{word(1, 3)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{num(2)} {num(2)} {num(2)}", f"v{num(1)}.{num(1)}.{num(1)}.{num(1)}",
+            f"{num(2)}.{num(2)}", f"{rng.randint(1, 99)},{num(3)},{num(3)}", f"{word()} at {word()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()}@{word()}", f"{num(3)}-{num(2)}", f"1990-{num(4)}", f"{num(5)} {num(5)}", f"{word(1, 3)}::{word(1, 3)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{num(2)} {num(2)} {num(2)}", f"v{num(1)}.{num(1)}.{num(1)}.{num(1)}",
             f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(1)}/{num(2)}/{num(4)}",
         ])
         if rng.random() < 0.1:

@@ -122,6 +122,12 @@ def test_added_spans_and_redaction(spark):
     assert rows[3].text == "plain words" and rows[4].text is None and rows[0].score == "x"
 
 
+def test_spelled_at_with_plain_dot_is_a_candidate(spark):
+    texts = ["bob at example.com", "look at this. Then", "look at this"]
+    rows = frame(spark, texts).select("doc_id", pii._candidates(F.col("text")).alias("c")).collect()
+    assert {r.doc_id: [x.v for x in r.c if x.kind == 0] for r in rows} == {0: [texts[0]], 1: [texts[1]], 2: []}
+
+
 def test_no_python_on_executors(spark):
     plan = pii.find(frame(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
