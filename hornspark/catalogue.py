@@ -82,6 +82,7 @@ _add("join3", "cr(C,R)", "c r", "select distinct c_custkey as c, r_name as r fro
 _add("join5", "sold(P,R)", "p r", "select distinct l_partkey as p, r_name as r from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey", "sold(P,R) :- li(O,P,S),ord(O,C,T),cust(C,K,M),nation(K,N,G),region(G,R).")
 _add("join_multi_key", "local(O,S)", "o s", "select distinct l_orderkey as o, l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey", "local(O,S) :- li(O,P,S),ord(O,C,T),cust(C,N,M),supp(S,N).")
 _add("self_join", "together(S,T)", "s t", "select distinct a.l_suppkey as s, b.l_suppkey as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey join supplier sa on a.l_suppkey = sa.s_suppkey join supplier sb on b.l_suppkey = sb.s_suppkey where sa.s_nationkey = 3 and sb.s_nationkey = 4", "together(S,T) :- li(O,P,S),li(O,Q,T),supp(S,'3'),supp(T,'4').")
+_add("self_join_all", "together(S,T)", "s t", "select distinct a.l_suppkey as s, b.l_suppkey as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey", "together(S,T) :- li(O,P,S),li(O,Q,T).")
 _add("semi_join_shape", "busy(S)", "s", "select distinct l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'", "busy(S) :- li(O,P,S),ord(O,C,'P').")
 _add("cross_product", "pair(X,Y)", "x y", "select a.r_regionkey as x, b.r_regionkey as y from region a cross join region b", "pair(X,Y) :- region(X,A),region(Y,B).")
 _add("ground_guard", "guarded(N)", "n", "select distinct n_name as n from nation where exists (select 1 from region where r_regionkey = 2)", "guarded(N) :- region('2',(a+b)),nation(K,N,R).")
