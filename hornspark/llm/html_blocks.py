@@ -11,6 +11,7 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 TAG = re.compile(
     r"""<!--(?P<comment>.*?)(?:--!?>|\Z)
@@ -41,6 +42,12 @@ class Block:
     in_form: bool
 
 
+@lru_cache(64)
+def end_tag(name: str) -> re.Pattern:
+    """The end tag of a raw-text element. ASCII letters alone differ in case, as the standard has it."""
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I | re.A)
+
+
 def clean(text: str) -> str:
     return SPACE.sub(" ", html.unescape(text)).strip()
 
@@ -63,7 +70,7 @@ def leaf_blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
-    lower: str | None = None
+    unclosed: set[str] = set()
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -121,9 +128,10 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if not closing and name in RAW:
-            if lower is None:
-                lower = page.lower()
-            stop = lower.find(f"</{name}", at)
+            shut = end_tag(name).search(page, at) if name not in unclosed else None
+            if shut is None:
+                unclosed.add(name)  # nor does it end further on
+            stop = shut.start() if shut else -1
             if stop < 0 and name in ("svg", "math", "object", "select", "iframe", "template", "noscript", "title"):
                 stop = at  # never closed: don't lose the page over it
             at = end if stop < 0 else stop

@@ -57,10 +57,11 @@ def block_features(b: Block, k: int, n: int) -> list[str]:
         out.append("ends")
     if b.text[:1] in "©®":
         out.append("mark")
-    if size < 300:
-        words = b.text.lower().split()
-        if any(w.strip(".,:;!?") in NOTICE_WORDS for w in words):
-            out.append("notice:inside" if path & {"article", "main"} or "main" in groups else "notice")
+    words = b.text.lower().split()
+    told = sum(w.strip(".,:;!?") in NOTICE_WORDS for w in words)
+    if told:  # how many, and how densely: long texts speak of such things now and then
+        where = "inside" if path & {"article", "main"} or "main" in groups else "outside"
+        out += [f"notice:{where}", f"notice:{where}:{'dense' if told * 12 > len(words) else 'thin'}"]
     if k == 0:
         out.append("first")
     if k == n - 1:

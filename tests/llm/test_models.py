@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -215,6 +216,80 @@ def test_deep_nesting():
     assert [(b.text, b.path, b.names) for b in leaf_blocks(page)] == [("a", ("div", "section"), ("content",)), ("b", ("div", "p"), ("content",)), ("c", ("p",), ())]
 
 
+class PlainParser(HTMLParser):
+    """Block texts of well-formed pages by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.skip = [], [], 0
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "template")
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "i", "a", "span"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "template")
+        if tag not in ("b", "i", "a", "span", "br"):
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+
+def test_blocks_equal_a_plain_parser():
+    rng = random.Random(8)
+
+    def page(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.randrange(8) if depth else rng.randrange(5)
+            if kind < 2:
+                out.append(rng.choice(["word İİİ ", "a &amp; b", "x < y ", "\u2028 sharp ß ", "tail\n"]))
+            elif kind == 2:
+                out.append("<!-- no <p> -->" + rng.choice(["<b>bold</b>", "<br>", "<i>i</i>"]))
+            elif kind == 3:
+                raw = rng.choice(["script", "STYLE", "Script"])
+                out.append(f"<{raw} x='1'>İ</p><div></{raw}ing> if (a<b) </{rng.choice([raw, raw.upper()])} >")
+            elif kind == 4:
+                out.append("<hr/>")
+            else:
+                tag = rng.choice(["div", "section", "DIV", "blockquote", "article"])
+                out.append(f'<{tag} class="c{depth}">{page(depth - 1)}</{tag}>')
+        return "".join(out)
+
+    for _ in range(300):
+        text = "İ" * rng.randint(0, 3) + page(4)
+        plain = PlainParser()
+        plain.feed(text)
+        plain.close()
+        plain.cut()
+        assert [b.text for b in leaf_blocks(text)] == plain.out, text
+
+
+def test_capital_i_with_dot_moves_no_offset():
+    for n in (1, 4, 40):
+        page = f"<p>{'İ' * n}</p><SCRIPT>var a = '</scripting>';</Script><article><p>kept whole</p></article>"
+        assert [b.text for b in leaf_blocks(page)] == ["İ" * n, "kept whole"]
+
+
+def test_thousand_levels_and_unclosed_raw_elements():
+    page = '<article class="content">' + "<div>" * 1000 + "<p>First of all.</p>" + "</div>" * 1000 + "<p>And then.</p></article><footer>Rights</footer>"
+    assert [(b.text, "article" in b.path) for b in leaf_blocks(page)] == [("First of all.", True), ("And then.", True), ("Rights", False)]
+    assert main_text.main_text(page, main_text.trained_field()) == "First of all.\nAnd then."
+    assert [b.text for b in leaf_blocks("<p>a</p><script>b<p>c")] == ["a"]  # runs to the end, as the standard has it
+    assert [b.text for b in leaf_blocks("<p>a</p><svg><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in leaf_blocks("<title>t" + "<svg>" * 3000 + "<p>x")] == ["t", "x"]
+
+
 # --- top-k ---
 
 
