@@ -4,12 +4,13 @@ A byte-level BPE encoding has a useful shape: a sequence of tokens is the encodi
 adjacent pair is the encoding of the pair's text. Every prefix of a word therefore has one last token, and the
 tokens before it encode the rest. So one pass over a word's bytes finds, for every prefix, the last token and
 the count: try the vocabulary entries that end there, longest first, until one is compatible with the last token of the
-prefix before it. Counts at all prefixes answer questions of truncation and budget without another encoding.
+prefix before it. Counts at all prefixes answer questions of truncation and budget: a reader takes a text one character at a time, keeps
+the open word's tables, and closes the word at every character, so that no prefix is encoded again.
 
 In this tokenizer a word's last symbol bears an end mark, so two tables run side by side: tokens without the mark,
 over which the pass goes, and tokens with it, one of which closes each prefix taken as a whole word.
 
-Counts are those of the library: its normalizer and word pattern are applied by the library's own objects, special strings in
+Counts are those of the library: its normalizer and word pattern are applied by the library's own objects (only words of a to z alone, which they leave whole, skip them), special strings in
 texts count as one token each, nothing is added, cut or padded. Null counts as empty, with no tokens. Texts are
 counted whole; other columns of the input are neither read nor returned.
 """
@@ -17,9 +18,11 @@ counted whole; other columns of the input are neither read nor returned.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterable
+from copy import copy
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +58,9 @@ class PrefixCounter:
         if bpe["type"] != "BPE" or bpe["end_of_word_suffix"] != "</w>" or bpe["unk_token"] or not split["invert"] or split["behavior"] != "Removed":
             raise ValueError("supported are byte-level BPE tokenizers with the end mark </w>")
         tokenizer = Tokenizer.from_file(path)
-        self.normalize = tokenizer.normalizer.normalize_str
+        self.normalize, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.word_pattern = regex.compile(split["pattern"]["Regex"])
         self.end = bpe["end_of_word_suffix"]
         self.translate = byte_letters()
         vocab: dict[str, int] = bpe["vocab"]
@@ -74,7 +76,9 @@ class PrefixCounter:
         self.inner = {t: i for t, i in self.inner.items() if own(t, False)}
         self.closing = {t: i for t, i in self.closing.items() if own(t, True)}
         self.longest = max(map(len, chain(self.inner, self.closing)))
+        self.inner_lengths, self.closing_lengths = self._lengths(self.inner), self._lengths(self.closing)
         self.fits: dict[int, bool] = {}
+        self.kinds: dict[str, str] = {}
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Plain BPE: the pair of least rank, leftmost first."""
@@ -91,6 +95,15 @@ class PrefixCounter:
     def _owns(self, text: str, closed: bool) -> bool:
         return len(text) == 1 or len(self._merge(self._spell(text, closed))) == 1
 
+    @staticmethod
+    def _lengths(table: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """By an entry's last three letters the lengths of such entries, longest first, and always two and one."""
+        found: dict[str, set[int]] = {}
+        for t in table:
+            if len(t) > 2:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {k: (*sorted(v, reverse=True), *SHORT) for k, v in found.items()}
+
     def compatible(self, a: int, b: int) -> bool:
         """The encoding of both tokens' text is these two tokens."""
         key = a << 20 | b
@@ -105,69 +118,98 @@ class PrefixCounter:
             self.fits[key] = found
         return found
 
-    def word_counts(self, word: str, every: bool = True) -> list[int]:
-        """Tokens of each prefix of a word (in the byte alphabet), each taken as a word: [0] is for the empty one.
-
-        ``every=False`` closes the whole word alone; the other entries are then those of open prefixes.
-        """
-        inner, closing, longest, compatible, fits = self.inner, self.closing, self.longest, self.compatible, self.fits
-        n = len(word)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        closed = [0] * (n + 1)
-        for j in range(1, n + 1):
-            low = j - longest if j > longest else 0
-            for k in range(low, j):
-                t = inner.get(word[k:j])
-                if t is not None:
-                    p = last[k]
-                    if not k or (fits[p << 20 | t] if p << 20 | t in fits else compatible(p, t)):
-                        last[j], count[j] = t, count[k] + 1
-                        break
-            if every or j == n:
-                for k in range(low, j):
-                    t = closing.get(word[k:j])
-                    if t is not None:
-                        p = last[k]
-                        if not k or (fits[p << 20 | t] if p << 20 | t in fits else compatible(p, t)):
-                            closed[j] = count[k] + 1
-                            break
-        return closed if every else [*count[:-1], closed[n]] if n else closed
-
-    def shown(self, word: str) -> str:
-        """A word in the byte alphabet."""
-        return word.encode("utf-8").decode("latin-1").translate(self.translate)
-
-    def words(self, text: str) -> list[str]:
-        """Words and special strings of a text, as the library cuts it."""
-        out: list[str] = []
-        at = 0
-        for m in self.special_pattern.finditer(text) if self.special_pattern and any(s in text for s in self.specials) else ():
-            out += self.word_pattern.findall(self.normalize(text[at : m.start()]))
-            out.append(m.group())
-            at = m.end()
-        return out + self.word_pattern.findall(self.normalize(text[at:]))
+    def _token(self, table: dict[str, int], lengths: dict[str, tuple[int, ...]], word: str, j: int, last: list[int]) -> int:
+        """Start of the longest entry ending at j that is compatible with the token before it; -1 if there is none."""
+        fits = self.fits
+        for n in lengths.get(word[j - 3 : j] if j > 2 else "", SHORT):
+            if n <= j and (t := table.get(word[j - n : j])) is not None:
+                if n == j:
+                    return 0
+                key = last[j - n] << 20 | t
+                if fits[key] if key in fits else self.compatible(last[j - n], t):
+                    return j - n
+        return -1
+
+    def grow(self, word: str, last: list[int], count: list[int]) -> None:
+        """Extend the last open token and the count of each prefix, which may be given for some first ones, to the whole word."""
+        inner, lengths, token = self.inner, self.inner_lengths, self._token
+        for j in range(len(last), len(word) + 1):
+            k = token(inner, lengths, word, j, last)
+            last.append(inner[word[k:j]] if k >= 0 else -1)
+            count.append(count[k] + 1 if k >= 0 else 0)
+
+    def closed_count(self, word: str, last: list[int], count: list[int], end: int | None = None) -> int:
+        """Tokens of the word up to ``end``; ``last`` and ``count`` reach one short of it at least."""
+        k = self._token(self.closing, self.closing_lengths, word, len(word) if end is None else end, last)
+        return count[k] + 1 if k >= 0 else 0
+
+    def word_counts(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word (in the byte alphabet), each taken as a word: [0] is for the empty one."""
+        last, count = [-1], [0]
+        self.grow(word, last, count)
+        return [0, *(self.closed_count(word, last, count, j) for j in range(1, len(word) + 1))]
 
     def count_word(self, word: str) -> int:
-        return 1 if word in self.specials else self.word_counts(self.shown(word), every=False)[-1]
+        if word in self.specials:
+            return 1
+        last, count = [-1], [0]
+        self.grow(word[:-1], last, count)
+        return self.closed_count(word, last, count)
+
+    def shown(self, char: str) -> str:
+        """A character in the byte alphabet."""
+        return char.encode("utf-8").decode("latin-1").translate(self.translate)
+
+    def words(self, batch: list[str]) -> list[list[str]]:
+        """Words in the byte alphabet, and special strings, of each blank-free text, as the library cuts it."""
+        out: list[list[str]] = [[] for _ in batch]
+        plain: list[tuple[int, str]] = []
+        for i, text in enumerate(batch):
+            if text.isascii() and text.isalpha():
+                out[i].append(text.lower())
+            elif "<|" in text and any(s in text for s in self.specials):
+                at = 0
+                for m in self.special_pattern.finditer(text):
+                    out[i] += [w for w, _ in self.split(self.normalize(text[at : m.start()]))]
+                    out[i].append(m.group())
+                    at = m.end()
+                out[i] += [w for w, _ in self.split(self.normalize(text[at:]))]
+            else:
+                plain.append((i, self.normalize(text)))
+        for lo in range(0, len(plain), 1024):  # many texts in one call: no word goes over a blank
+            some = plain[lo : lo + 1024]
+            ends = list(accumulate(len(n) + 1 for _, n in some))
+            k = 0
+            for word, (start, _) in self.split(" ".join([n for _, n in some])):
+                while start >= ends[k]:
+                    k += 1
+                out[some[k][0]].append(word)
+        return out
+
+    def kind(self, char: str) -> str:
+        """What the library's pattern takes a normalized character for: letter L, number N, blank " " or other "."."""
+        found = self.kinds.get(char)
+        if found is None:
+            found = " " if not self.split(char) else "N" if len(self.split(char + char)) == 2 else "L" if len(self.split("a" + char)) == 1 else "."
+            self.kinds[char] = found
+        return found
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """P[i]: tokens of the whole text cut after i code points, for every i from 0 to its length.
+        """P[i]: tokens of the whole text cut after i code points, for every i from 0 to its length, in one pass over the text.
 
-        A cut inside a run of blanks or a special string falls back on counting what stands before it.
+        Code points that the normalizer may join are looked at together; a cut between them is read from the state before them.
         """
         out = np.zeros(len(text) + 1, np.int64)
-        total = 0
-        for start, end in chunk_spans(text):
-            chunk = text[start:end]
-            # Outside of plain lower-case letters a prefix may normalize or split differently, so it is cut anew.
-            words = self.words(chunk)
-            if len(words) == 1 and words[0] == chunk and chunk.isascii() and chunk.isalpha():
-                out[start + 1 : end + 1] = total + np.array(self.word_counts(chunk)[1:])
-            else:
-                for i in range(start + 1, end + 1):
-                    out[i] = total + sum(map(self.count_word, self.words(text[start:i])))
-            total = int(out[end])
-            out[end:] = total
+        state, at = Reader(self), 0
+        for m in self.special_pattern.finditer(text) if self.special_pattern and "<|" in text else ():
+            state.read(text[at : m.start()], out[at : m.start() + 1])
+            inside = state.copy()  # a special string that isn't whole is ordinary text
+            inside.read(m.group()[:-1], out[m.start() : m.end()])
+            state.end_word()
+            state.done += 1
+            at = m.end()
+            out[at] = state.done
+        state.read(text[at:], out[at:])
         return out
 
     def fit(self, text: str, budget: int) -> int:
@@ -176,10 +218,91 @@ class PrefixCounter:
         return int(within[-1]) if len(within) else 0
 
 
-def chunk_spans(text: str) -> Iterable[tuple[int, int]]:
-    """Stretches between plain blanks and line ends, where no token can cross."""
-    for m in regex.finditer(r"[^ \n]+", text):
-        yield m.span()
+#: Lengths of entries that end in no known three letters.
+SHORT = (2, 1)
+#: Endings of the pattern's own words with an apostrophe: fixed values.
+ONE, TWO = "stmd", {"r": "e", "v": "e", "l": "l"}
+
+
+@lru_cache(1)
+def joining() -> frozenset[str]:
+    """Characters that the normalizer may join with the one before: marks, second parts of canonical compositions, Hangul vowels and finals."""
+    found = {chr(c) for c in chain(range(0x1161, 0x1176), range(0x11A8, 0x11C3))}
+    for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+        if unicodedata.combining(c):
+            found.add(c)
+    return frozenset(found)
+
+
+class Reader:
+    """Tokens of all that was read, character by character: those of whole words, and the open word's last tokens and counts."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter, self.done = counter, 0
+        self.end_word()
+
+    def end_word(self) -> None:
+        if getattr(self, "word", ""):
+            self.done = self.tokens()
+        self.word, self.sort, self.last, self.count, self.apostrophe = "", "", [-1], [0], None
+
+    def copy(self) -> Reader:
+        other = copy(self)
+        other.last, other.count = self.last.copy(), self.count.copy()
+        return other
+
+    def tokens(self) -> int:
+        return self.done + (self.counter.closed_count(self.word, self.last, self.count) if self.word else 0)
+
+    def push(self, char: str) -> None:
+        """One normalized character."""
+        c, sort = self.counter, self.counter.kind(char)
+        if sort == " ":
+            return self.end_word()
+        if self.apostrophe is not None and sort == "L":
+            before, so_far = self.apostrophe
+            if not so_far and char in ONE or so_far and TWO[so_far] == char:
+                self.done, self.word = before + c.count_word("'" + so_far + char), ""
+                return self.end_word()
+            keep = (before, char) if not so_far and char in TWO else None
+            if not so_far:
+                self.end_word()
+            self.apostrophe = keep
+        else:
+            self.apostrophe = None
+        if sort == "N" or sort != self.sort:
+            keep = self.apostrophe
+            self.end_word()
+            self.apostrophe = keep
+            if char == "'":
+                self.apostrophe = (self.done, "")
+        self.sort = sort
+        self.word += c.shown(char)
+        c.grow(self.word, self.last, self.count)
+        if len(self.word) > 64 * c.longest:  # no entry reaches further back than c.longest
+            self.word, self.last, self.count = self.word[-2 * c.longest :], self.last[-2 * c.longest - 1 :], self.count[-2 * c.longest - 1 :]
+
+    def read(self, text: str, out: np.ndarray) -> None:
+        """``out[i]``: tokens after i more characters."""
+        joins, normalize = joining(), self.counter.normalize
+        at, n = 0, len(text)
+        out[0] = self.tokens()
+        while at < n:
+            end = at + 1
+            while end < n and text[end] in joins:
+                end += 1
+            for cut in range(at + 1, end):
+                some = self.copy()
+                for char in normalize(text[at:cut]):
+                    some.push(char)
+                out[cut] = some.tokens()
+            for char in normalize(text[at:end]):
+                self.push(char)
+            out[end] = self.tokens()
+            at = end
 
 
 def chunks(text: str) -> list[str]:
@@ -199,7 +322,7 @@ def _memos(path: str) -> tuple[Memo, Memo]:
 def count_chunks(new: list[str], path: str) -> list[int]:
     """Tokens of each chunk: its words' last prefix counts."""
     c, (_, by_word) = counter(path), _memos(path)
-    found = [c.words(x) for x in new]
+    found = c.words(new)
     return list(map(sum, by_row(found, lambda words: by_word.look_up(words, lambda new: [c.count_word(w) for w in new]))))
 
 

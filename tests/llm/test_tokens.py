@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -83,7 +84,8 @@ def test_token_counts(spark, words):
 
 def test_counts_at_every_prefix(spark, words):
     c = bpe_counts.counter(bpe_counts.default_tokenizer())
-    for t in ["The quickbrownfox, it's laziness. Übergröße 12", "unbelievability of", "", "a  \n b <|endoftext|>x"]:
+    odd = ["x'rex 'l 'll 'lx !'s ''s '", "İİ ete\u0301 \u1112\u1161\u11ab ȩ\u0301x", "!<|endoftext|>' s<|startof", "a\t\tb\x85c·1²"]
+    for t in ["The quickbrownfox, it's laziness. Übergröße 12", "unbelievability of", "", "a  \n b <|endoftext|>x", *odd, *noise(7, 200, "abstrelv''!.1e\u0301İß日<|> ")]:
         want = [len(words.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
         assert c.prefix_counts(t).tolist() == want
         for budget in (0, 1, 3, 100):
@@ -92,6 +94,26 @@ def test_counts_at_every_prefix(spark, words):
     assert [r.text.strip() for r in cut] == ["one two three", ""]
 
 
+def test_counts_around_every_code_point(words):
+    texts = [f"a{chr(x)}b{chr(x)}{chr(x)}1" for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for lo in range(0, len(texts), 1 << 16):
+        some = texts[lo : lo + (1 << 16)]
+        assert bpe_counts.count_chunks(some, bpe_counts.default_tokenizer()) == [len(e.ids) for e in words.encode_batch_fast(some, add_special_tokens=False)]
+
+
+def test_prefix_counts_of_long_runs_without_blanks(words):
+    c = bpe_counts.counter(bpe_counts.default_tokenizer())
+    c.prefix_counts("é")
+    rng = random.Random(2)
+    began = time.process_time()
+    for t in ("ab1é." * 40000, "".join(rng.choice("abcdefghij") for _ in range(100_000))):
+        found = c.prefix_counts(t)
+        assert found[-1] == len(words.encode(t, add_special_tokens=False).ids) and (np.diff(found) >= -2).all()
+        for i in rng.sample(range(len(t)), 3):
+            assert found[i] == len(words.encode(t[:i], add_special_tokens=False).ids)
+    assert time.process_time() - began < 30
+
+
 def check_pieces(rows, docs, words):
     """Every id in exactly one piece, sequences gapless and of at most 4096 ids; the share of padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
