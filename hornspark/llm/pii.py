@@ -7,7 +7,7 @@ drawn here, and each kind's threshold is the least calibrated probability at whi
 The trees become one SQL expression. Base spans always stay; a selected candidate is added unless it lies within a base span of its kind.
 
 Everything is computed in a text's own row: matches come from the pattern's matches and the pieces between them, positions from their lengths in code
-points. So no text is shuffled, no Python runs on executors, and no group of rows can be large. The patterns are possessive, so
+points, in time that grows with the text's length and, but for a logarithm, with the number of matches. So no text is shuffled, no Python runs on executors, and no group of rows can be large. The patterns are possessive, so
 the engine neither backtracks nor recurses over long texts.
 
 Null counts as empty; an empty text has no spans, and the digest of the empty string. Texts are read whole. Repeated rows give repeated results.
@@ -53,27 +53,40 @@ CONTEXT = {
     "phone": r"phone|tel|call|mobile|cell|fax|dial|whatsapp|sms|number|ring",
 }
 AGAINST = r"version|isbn|issn|order|invoice|item|part|serial|build|page|section|chapter|date|year|score|ratio|time|price|total|sum|row|ticket|tracking|id"
-BEFORE = 32
+BEFORE, AFTER = 32, 2
 PRECISION = 0.98
+#: Code points to a piece of a text that is redacted.
+PIECE = 1024
 ENTRY = "array<struct<kind:int,s:int,e:int,v:string,l:string,r:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once: inside a lambda function an expression is computed anew for each element, a variable isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Running totals (or maxima) of an array: after the step of distance d each element covers the 2 * d elements up to itself. ``values`` is a variable."""
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(values))
+    return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: join(x, F.coalesce(F.get(acc, i - d), zero))))
+
+
 def _matches(text: Column, needs: str, pattern: str, kind: int, context: bool = False) -> Column:
     """Located matches in text order: kind, start, end, the text matched, and with ``context`` what stands before and after."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    empty = F.array().cast(ENTRY)
+    ends = lambda p: _let(F.transform(p, lambda z: F.length(z["g"]) + F.coalesce(F.length(z["m"]), F.lit(0))), lambda n: _scan(n, lambda a, b: a + b, F.lit(0)))
+
+    def entries(p: Column) -> Column:
+        def entry(z: Column, i: Column) -> Column:
+            m, before, after = z["p"]["m"], F.get(p, i - 1), F.get(p, i + 1)
+            left = F.right(F.concat(F.coalesce(F.right(before["m"], F.lit(BEFORE)), F.lit("")), z["p"]["g"]), F.lit(BEFORE)) if context else F.lit("")
+            # No match is shorter than two characters.
+            right = F.left(F.concat(F.left(after["g"], F.lit(AFTER)), F.coalesce(F.left(after["m"], F.lit(AFTER)), F.lit(""))), F.lit(AFTER)) if context else F.lit("")
+            return F.struct(F.lit(kind).alias("kind"), (z["e"] - F.length(m)).alias("s"), z["e"].alias("e"), m.alias("v"), left.alias("l"), right.alias("r"))
 
-    def step(acc: Column, z: Column) -> Column:
-        m, g = z["m"], z["g"]
-        s = acc["p"] + F.length(g)
-        e = s + F.length(m)
-        left = F.right(F.concat(acc["t"], g), F.lit(BEFORE)) if context else F.lit("")
-        entry = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), m.alias("v"), left.alias("l"), F.lit("").alias("r"))
-        grown = F.struct(e.alias("p"), F.concat(acc["o"], F.array(entry)).cast(ENTRY).alias("o"), (F.right(m, F.lit(BEFORE)) if context else F.lit("")).alias("t"))
-        return F.when(m.isNull(), acc).otherwise(grown)
+        return F.transform(F.slice(F.arrays_zip(p.alias("p"), ends(p).alias("e")), F.lit(1), F.size(p) - 1), entry)  # the last piece ends the text
 
-    start = F.struct(F.lit(0).alias("p"), empty.alias("o"), F.lit("").alias("t"))
-    return F.when(text.rlike(needs), F.aggregate(pairs, start, step, lambda a: a["o"])).otherwise(empty)
+    return F.when(text.rlike(needs), _let(pairs, entries).cast(ENTRY)).otherwise(F.array().cast(ENTRY))
 
 
 def _digits(v: Column) -> Column:
@@ -112,9 +125,7 @@ def _base(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    found = F.concat(*(_matches(text, needs, pattern, KINDS.index(kind), context=True) for kind, needs, pattern in GENERATORS))
-    after = lambda x: F.substring(text, x["e"] + 1, F.lit(8))
-    return F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["l"].alias("l"), after(x).alias("r")))
+    return F.concat(*(_matches(text, needs, pattern, KINDS.index(kind), context=True) for kind, needs, pattern in GENERATORS))
 
 
 # --- features ----------------------------------------------------------------------------------------------
@@ -261,9 +272,8 @@ class Boosted:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.bias + sum(self._value(t, x) for t in self.trees)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Trees from two thirds of the rows; scale and thresholds from the rest."""
-        rest = np.arange(len(x)) % 3 == 0
+    def fit(self, x: np.ndarray, y: np.ndarray, rest: np.ndarray) -> Boosted:
+        """Trees from the rows not in ``rest``; scale and thresholds from those in it."""
         a, b = x[~rest], y[~rest]
         share = min(0.99, max(0.01, b.mean()))
         self.bias = float(np.log(share / (1 - share)))
@@ -313,7 +323,8 @@ def fitted(spark: SparkSession, examples: int = 4000, seed: int = 5) -> Boosted:
         label = ((F.col("c.kind") == F.col("true_kind")) & (F.col("c.v") == F.col("value"))).cast("int")
         table = found.select("id", label.alias("label"), *(values[n].cast("double").alias(n) for n in NAMES)).orderBy("id", *NAMES).collect()
         x = np.array([[r[n] for n in NAMES] for r in table])
-        _fitted.append(Boosted().fit(x, np.array([r["label"] for r in table], float)))
+        # All candidates of an example are on one side.
+        _fitted.append(Boosted().fit(x, np.array([r["label"] for r in table], float), np.array([r["id"] % 3 == 0 for r in table])))
     return _fitted[0]
 
 
@@ -345,8 +356,22 @@ def with_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> Dat
     some = some.withColumn(work, F.when(F.size(work) > 0, judged))
     cuts = ", ".join(f"{t:.6f}D" for t in model.thresholds)
     chosen = f"transform(filter(coalesce({work}, array()), c -> {model.probability_sql([f'c.f.{n}' for n in NAMES])} >= element_at(array({cuts}), c.span.kind + 1)), c -> c.span)"
-    added = F.expr(f"filter({chosen}, c -> not exists({base}, b -> b.kind = c.kind and b.s <= c.s and c.e <= b.e))")
-    return some.withColumn(spans, F.array_distinct(F.concat(F.col(base), added))).drop(work)
+    added = lambda c: F.when(F.size(c) > 0, _outside(F.col(base), c)).otherwise(c)
+    return some.withColumn(spans, F.concat(F.col(base), _let(F.expr(chosen), added))).drop(work)
+
+
+def _outside(base: Column, chosen: Column) -> Column:
+    """The different spans of ``chosen`` that lie in no base span of their kind: by order, each meets the farthest end of the base spans before it."""
+    item = lambda x, rank: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"))
+    both = F.array_sort(F.concat(F.transform(base, lambda x: item(x, 0)), F.transform(chosen, lambda x: item(x, 1))))
+    far = lambda x: x["kind"] * F.lit(1 << 40) + x["e"]
+
+    def kept(z: Column) -> Column:
+        ends = _let(F.transform(z, lambda x: F.when(x["rank"] == 0, far(x)).otherwise(F.lit(-1))), lambda n: _scan(n, F.greatest, F.lit(-1)))
+        new = F.filter(F.arrays_zip(z.alias("x"), ends.alias("far")), lambda y, i: (y["x"]["rank"] == 1) & (y["far"] < far(y["x"])) & ~y["x"].eqNullSafe(F.get(z, i - 1)))
+        return F.transform(new, lambda y: F.struct(y["x"]["kind"].alias("kind"), y["x"]["s"].alias("s"), y["x"]["e"].alias("e")))
+
+    return _let(both, kept)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -361,17 +386,26 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every maximal stretch of overlapping spans replaced by its first span's kind in brackets."""
+    """The text with every maximal stretch of overlapping spans replaced by its first span's kind in brackets.
+
+    The text is dealt into pieces of PIECE code points first, as a part of a long text is found by counting from its start.
+    """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        past = F.greatest(acc["p"], x["e"])
-        fresh = F.concat(acc["o"], F.substring(text, acc["p"] + 1, x["s"] - acc["p"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(past.alias("p"), F.when(x["s"] >= acc["p"], fresh).otherwise(acc["o"]).alias("o"))
+    def joined(z: Column, ends: Column, pieces: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            first = (a / PIECE).cast("int")
+            return F.substring(F.array_join(F.slice(pieces, first + 1, (b / PIECE).cast("int") - first + 1), ""), a % PIECE + 1, b - a)
+
+        def shown(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.when(x["s"] >= before, F.concat(part(before, x["s"]), F.element_at(names, x["kind"] + 1))).otherwise("")
+
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(F.transform(z, shown), ""), part(last, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-    return F.aggregate(ordered, start, step, lambda a: F.concat(a["o"], F.substring(text, a["p"] + 1, F.length(text))))
+    return _let(ordered, lambda z: _let(_let(F.transform(z, lambda x: x["e"]), lambda e: _scan(e, F.greatest, F.lit(0))), lambda ends: _let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: joined(z, ends, pieces))))
 
 
 def redact(docs: DataFrame) -> DataFrame:

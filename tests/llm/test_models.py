@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -123,6 +124,18 @@ def test_added_spans_and_redaction(spark):
     assert rows[3].text == "plain words" and rows[4].text is None and rows[0].score == "x"
 
 
+def test_dense_matches_take_no_square_of_time(spark):
+    line = "é a.b@c.de 10.0.0.1 call 212-555-1234, +1 (234) 567-8901; 4111 1111 1111 1111\n"
+    text = line * 12_000  # about a million code points, 60,000 base spans
+    docs = frame(spark, [text])
+    began = time.time()
+    row = pii.find(docs).collect()[0]
+    assert row.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest() and "phone:25:37" in row.spans
+    got = pii.redact(docs).collect()[0].text
+    assert got == "é [EMAIL] [IP] call [PHONE], [PHONE]; [CARD]\n" * 12_000
+    assert time.time() - began < 120
+
+
 def test_spelled_at_with_plain_dot_is_a_candidate(spark):
     texts = ["bob at example.com", "look at this. Then", "look at this"]
     rows = frame(spark, texts).select("doc_id", pii._candidates(F.col("text")).alias("c")).collect()
