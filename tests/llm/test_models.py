@@ -1,10 +1,12 @@
 """Quality, toxicity, personal data, page text, top-k and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import duckdb
@@ -313,15 +315,19 @@ def test_top_k(spark, monkeypatch):
     rows += [(i, r) for i, r in rows[:40]] + [(None, [1.0, 1.0, 1.0]), (500, None), (501, []), (550, [None, 1.0, 1.0]), (551, [float("nan"), 1.0, 1.0]), (552, [float("inf"), 1.0, 1.0]), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (650, [5.0])]
     rows += [(700, [3e30, 3e30, 1.0, 1.0]), (701, [-3e30, 2e30, 1.0, 1.0]), (702, [1.0, 1.0, 1.0, 1.0])]
     frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(5)
-    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    rows += [(750, [1e308, 1.0, 1.0, 1.0, 1.0]), (751, [-1e308, 1.0, 1.0, 1.0, 1.0]), (752, [2e-308, -5e-324, 1.0, 1.0, 1.0])]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(5)
+    clean = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     top = 1 << 62
     want = {}
     for q in sorted({i for i, _ in clean if i % 50 == 0}):
         own = min(v for i, v in clean if i == q)
         scored = sorted((-max(-top, min(top, sum(a * b for a, b in zip(own, v, strict=True)))), i) for i, v in clean if i != q and len(v) == len(own))
         want[q] = [(i, -s) for s, i in scored[:5]]
-    for block in (2048, 3):
+    for block, values, shard in ((2048, 1 << 22, 1 << 17), (3, 1 << 22, 1 << 17), (3, 9, 100), (2048, 15, 1 << 17)):
         monkeypatch.setattr(top_k, "BLOCK_ROWS", block)
+        monkeypatch.setattr(top_k, "GROUP_VALUES", values)
+        monkeypatch.setattr(top_k, "SHARD_ROWS", shard)
         got = {}
         for r in top_k.top_k(frame_).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -329,6 +335,14 @@ def test_top_k(spark, monkeypatch):
     assert top_k.top_k(frame_.limit(0)).count() == 0
 
 
+def test_tiled_search_reads_the_base_once(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "GROUP_VALUES", 12)
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, 2.0]) for i in range(1000)], "vec_id long, embedding array<double>")
+    plan = top_k.top_k(vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate explode(") == 2  # five groups of four queries in one pass
+    assert len(re.findall(r"Relation \[.*parquet", plan)) == 2  # the base and the queries
+
+
 def test_top_k_oracle(spark):
     con = duckdb.connect()
     con.execute("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
