@@ -5,15 +5,17 @@ from __future__ import annotations
 import warnings
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from hornspark.functions.values import typed
 from hornspark.operators.atoms import answer, is_ground
 from hornspark.operators.fixpoint import Store, run_rules
 from hornspark.operators.rules import evaluate_rule
-from hornspark.plans import analysis
-from hornspark.plans.nodes import Atom, Program, Rule
+from hornspark.plans import analysis, demand
+from hornspark.plans.nodes import Atom, Const, Program, Rule
 from hornspark.plans.parser import parse
 from hornspark.sources.relations import from_facts, from_table
 
@@ -75,12 +77,12 @@ class Engine:
             out[name] = rows
         return out
 
-    def run(self, program: Program | str, *, evaluation: str = "optimized", mode: str = "fast", prune: bool = False) -> Result:
-        """``prune`` leaves out rules that no query needs."""
+    def run(self, program: Program | str, *, evaluation: str = "optimized", mode: str = "fast", prune: bool = False, seeds: dict[str, DataFrame] | None = None) -> Result:
+        """``prune`` leaves out rules that no query needs; ``seeds`` are further base relations."""
         program = parse(program) if isinstance(program, str) else program
         if evaluation not in ("relational", "interpreter", "optimized"):
             raise ValueError(f"unknown evaluation {evaluation}")
-        base = self.load(program)
+        base = self.load(program) | (seeds or {})
         store = Store(self.spark, base, sets=set(base) - set(self.tables))
         result = Result(program, {}, [])
         if evaluation != "relational":
@@ -106,7 +108,32 @@ class Engine:
 
     def query(self, program: Program | str, **options) -> DataFrame:
         """The answer to the program's last query."""
-        return self.run(program, **{"prune": True} | options).queries[-1].df
+        return self.ask(program, **options).queries[-1].df
+
+    def ask(self, program: Program | str, *, on_demand: bool = True, **options) -> Result:
+        """``run`` for the last query alone. With ``on_demand`` its constants reach into recursion: only what can bear on the answer is derived."""
+        program = parse(program) if isinstance(program, str) else program
+        last = replace(program, queries=program.queries[-1:])
+        if on_demand and not options and (found := self._demand(last)):
+            rewritten, seeds = found
+            return self.run(rewritten, seeds=seeds)
+        return self.run(last, **{"prune": True} | options)
+
+    def _demand(self, program: Program) -> tuple[Program, dict[str, DataFrame]] | None:
+        """The program rewritten for its query's constants, and the relation of these, typed as the columns they are asked of."""
+        query = program.queries[0]
+        if not any(isinstance(t, Const) for t in query.terms):
+            return None
+        usable = [program.rules[i] for i in sorted(analysis.reachable_rules(program)) if self._usable(program.rules[i])]
+        base = self.load(program)
+        kinds = Store(self.spark, {k: df.limit(0) for k, df in base.items()}).kinds(usable)
+        column = dict(enumerate(kinds.get(query.name, [])))
+        value = {i: typed(t.value, column[i]) for i, t in enumerate(query.terms) if isinstance(t, Const) and i in column}
+        found = demand.demanded(replace(program, rules=tuple(usable)), query, {(query.name, i) for i, v in value.items() if v is not None}, set(base))
+        if found is None:
+            return None
+        schema = T.StructType([T.StructField(f"c{k}", column[i]) for k, (i, _) in enumerate(found.seeds)])
+        return found.program, {found.relation: self.spark.createDataFrame([tuple(value[i] for i, _ in found.seeds)], schema)}
 
     @staticmethod
     def _read_once(program: Program, graph: list[list[int]], usable: set[int]) -> set[str]:

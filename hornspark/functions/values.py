@@ -15,19 +15,26 @@ def equals_text(column: Column, kind: T.DataType, text: str) -> Column:
     A typed literal reaches the Parquet scan as a pushed filter, so it is used wherever the text is how the
     type writes that value; other texts match nothing. Types without such a rule are compared as text.
     """
+    if isinstance(kind, (T.StringType, T.BooleanType, *INTEGRAL)):
+        value = typed(text, kind)
+        return F.lit(False) if value is None else column == F.lit(value).cast(kind)
+    return column.cast("string") == F.lit(text)
+
+
+def typed(text: str, kind: T.DataType) -> str | int | bool | None:
+    """The value that the type writes as ``text``; None if it writes none so, or the type has no such rule."""
     if isinstance(kind, T.StringType):
-        return column == F.lit(text)
+        return text
+    if isinstance(kind, T.BooleanType):
+        return {"true": True, "false": False}.get(text)
     if isinstance(kind, INTEGRAL):
         bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}[type(kind)]
         try:
             number = int(text)
         except ValueError:
-            return F.lit(False)
-        fits = str(number) == text and -(1 << (bits - 1)) <= number < 1 << (bits - 1)
-        return column == F.lit(number).cast(kind) if fits else F.lit(False)
-    if isinstance(kind, T.BooleanType):
-        return column == F.lit(text == "true") if text in ("true", "false") else F.lit(False)
-    return column.cast("string") == F.lit(text)
+            return None
+        return number if str(number) == text and -(1 << (bits - 1)) <= number < 1 << (bits - 1) else None
+    return None
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:

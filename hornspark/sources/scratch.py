@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,16 +25,37 @@ class Scratch:
     """Written tables of one job. They cut lineage: a lost executor costs a re-read, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.numbers = spark, [], count()
         self.base = f"{shared_dir(spark).rstrip('/')}/hornspark-{uuid.uuid4().hex}"
 
+    def _path(self) -> str:
+        self.paths.append(path := f"{self.base}/{next(self.numbers)}")
+        return path
+
     def write(self, df: DataFrame) -> DataFrame:
         """The same rows, now read from a written table."""
-        path = f"{self.base}/{len(self.paths)}"
-        self.paths.append(path)
+        path = self._path()
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, buckets: int = 0) -> tuple[DataFrame, int]:
+        """The same rows, now read from a written table, and their number, which the write itself finds.
+
+        With ``buckets`` the table is dealt by the hash of all its columns, as a shuffle of that many partitions does it; plans over
+        it know that, also when several such tables are united, and don't shuffle it again.
+        """
+        path, seen = self._path(), Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write
+        if not buckets:
+            writer.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+        name = f"hornspark_{uuid.uuid4().hex}"
+        writer.bucketBy(buckets, *df.columns).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # noqa: B018 - the plan is resolved before the name goes; the files stay
+        self.spark.sql(f"drop table {name}")
+        return out, seen.get["n"]
+
     def drop(self, path: str | None = None) -> None:
         """Delete one table, or all of them."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.base)

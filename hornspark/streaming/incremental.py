@@ -31,6 +31,7 @@ class Incremental:
         usable = {i for i, r in enumerate(rules) if analysis.is_safe(r)}
         self.components = [([rules[i] for i in c if i in usable], analysis.is_recursive(c, graph), {}) for c in analysis.components(graph)]
         self.store.prepare([rules[i] for i in sorted(usable)])
+        self.store.settle()
         self._run()
 
     def _run(self) -> None:
@@ -43,7 +44,7 @@ class Incremental:
         rows = from_table(facts)
         if name not in self.store.relations:
             self.store.get(name, len(rows.columns))
-        new = self.store.grow(name, [rows])
+        new = self.store.grow(name, [rows], nulls=True)
         if new:
             self._run()
         return new
