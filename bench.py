@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from hornspark import catalogue
 
-NAMES = "scan_all select_const prefix_arity project_distinct join2 join3 join5 join_multi_key self_join semi_join_shape union_rules edb_plus_idb tc_linear tc_nonlinear tc_cyclic mutual_recursion".split()
+NAMES = "scan_all select_const prefix_arity project_distinct join2 join3 join5 join_multi_key self_join semi_join_shape union_rules edb_plus_idb tc_linear tc_nonlinear tc_cyclic tc_from_constant mutual_recursion tc_lines".split()
 
 
 def main() -> None:

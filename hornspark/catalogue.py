@@ -50,7 +50,21 @@ def _edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.union(n.filter("n_nationkey >= 12").select("n_nationkey", "n_regionkey"))
 
 
-DERIVED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"next": _turns, "trade": _trade, "edge": _edge}
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their pending orders, or with NULL."""
+    orders = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
+    cust = _table(spark, sf_dir, "customer").select("c_custkey")
+    return cust.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring line numbers of an order."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")).distinct()
+    return li.join(after, ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + 1).alias("after"))
+
+
+DERIVED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"next": _turns, "trade": _trade, "edge": _edge, "placed": _placed, "nextline": _lines}
 
 NEXT = "nxt as (select distinct a.conv_id, a.turn, a.turn + 1 as after from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
 TRADE = "trade as (select distinct s_nationkey as a, c_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey where l_quantity >= 50 and l_discount >= 0.09 and o_orderstatus = 'P')"
@@ -107,6 +121,14 @@ _add("strata_chain", "top(N)", "n", "select distinct n_name as n from nation joi
 _add("fact_domain", "dom(X)", "x", "select n_nationkey as x from nation union select n_regionkey from nation", "dom(X) :- nation(X,N,R). dom(X) :- nation(K,N,X).")
 
 
+_add("null_dropped", "placed(C,O)", "c o", "select distinct c_custkey as c, o_orderkey as o from customer join orders on c_custkey = o_custkey where o_orderstatus = 'P'")
+_add("null_unbound", "placed(C)", "c", "select distinct c_custkey as c from customer")
+_add("null_in_rule", "open(C,S)", "c s", "select distinct c_custkey as c, l_suppkey as s from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'P'", "open(C,S) :- placed(C,O),li(O,P,S).")
+_add("repeat_var_rows", "li(O,X,X)", "o x", "select distinct l_orderkey as o, l_partkey as x from lineitem where l_partkey = l_suppkey")
+LINE = "ln as (select distinct a.l_orderkey as o, a.l_linenumber as a, a.l_linenumber + 1 as b from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"
+_add("tc_lines", "later(O,A,B)", "o a b", f"with recursive {LINE}, later as (select o, a, b from ln union select r.o, r.a, n.b from later r join ln n on r.o = n.o and r.b = n.a) select o, a, b from later", "later(O,A,B) :- nextline(O,A,B). later(O,A,C) :- later(O,A,B),nextline(O,B,C).")
+
+
 def program_text(name: str) -> str:
     facts, rules, query, _, _ = QUERIES[name]
     schemes = " ".join({f"{f.strip().split('(')[0]}(a)" for f in facts.split(".") if f.strip()}) or "none(a)"

@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     arg.add_argument("layer", choices=["lex", "token", "parse", "relational", "interpret", "optimize", "canonical"])
     arg.add_argument("inputs", nargs="+", help="program files, merged in order; for token, the strings themselves")
     arg.add_argument("-d", "--debug", default=logging.ERROR, type=int, metavar="LEVEL", help="logging level")
+    arg.add_argument("-p", "--part", default=2, type=int, help="of parse: 1 only says whether the program parses, 2 also prints it, or the offending token")
     arg.add_argument("--fast", action="store_true", help="evaluate all rules of a round at once; pass counts then differ")
     args = arg.parse_args(argv)
     logging.basicConfig(level=args.debug)
@@ -34,15 +35,16 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(token_report(read_text(f)) for f in args.inputs))
         return 0
     if args.layer == "parse" and len(args.inputs) == 1:
-        print(out := parse_report(read_text(args.inputs[0])))
+        out = parse_report(read_text(args.inputs[0]))
+        print(out if args.part == 2 else out.partition("\n")[0])
         return int(out.startswith("Failure!"))
     try:
         program = read_program(*args.inputs)
     except DatalogSyntaxError as e:
-        print(f"Failure!\n  {e.token}")
+        print("Failure!" if args.layer == "parse" and args.part != 2 else f"Failure!\n  {e.token}")
         return 1
     if args.layer == "parse":
-        print(f"Success!\n{program}")
+        print(f"Success!\n{program}" if args.part == 2 else "Success!")
         return 0
     if args.layer == "canonical":
         print(program.canonical())

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from hornspark.functions.values import typed
+from hornspark.functions.values import RULED, typed
 from hornspark.operators.atoms import answer, is_ground
 from hornspark.operators.fixpoint import Store, run_rules
 from hornspark.operators.rules import evaluate_rule
@@ -128,12 +128,14 @@ class Engine:
         base = self.load(program)
         kinds = Store(self.spark, {k: df.limit(0) for k, df in base.items()}).kinds(usable)
         column = dict(enumerate(kinds.get(query.name, [])))
-        value = {i: typed(t.value, column[i]) for i, t in enumerate(query.terms) if isinstance(t, Const) and i in column}
-        found = demand.demanded(replace(program, rules=tuple(usable)), query, {(query.name, i) for i, v in value.items() if v is not None}, set(base))
+        # Only of these types is it known how they write a value; a text that they never write is asked of nothing.
+        ruled = {i: t.value for i, t in enumerate(query.terms) if isinstance(t, Const) and i in column and isinstance(column[i], RULED)}
+        found = demand.demanded(replace(program, rules=tuple(usable)), query, {(query.name, i) for i in ruled}, set(base))
         if found is None:
             return None
         schema = T.StructType([T.StructField(f"c{k}", column[i]) for k, (i, _) in enumerate(found.seeds)])
-        return found.program, {found.relation: self.spark.createDataFrame([tuple(value[i] for i, _ in found.seeds)], schema)}
+        values = tuple(typed(text, column[i]) for i, text in found.seeds)
+        return found.program, {found.relation: self.spark.createDataFrame([] if None in values else [values], schema)}
 
     @staticmethod
     def _read_once(program: Program, graph: list[list[int]], usable: set[int]) -> set[str]:

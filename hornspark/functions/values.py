@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Types of which it is known how they write each value.
+RULED = (T.StringType, T.BooleanType, *INTEGRAL)
 
 
 def equals_text(column: Column, kind: T.DataType, text: str) -> Column:
@@ -15,7 +17,7 @@ def equals_text(column: Column, kind: T.DataType, text: str) -> Column:
     A typed literal reaches the Parquet scan as a pushed filter, so it is used wherever the text is how the
     type writes that value; other texts match nothing. Types without such a rule are compared as text.
     """
-    if isinstance(kind, (T.StringType, T.BooleanType, *INTEGRAL)):
+    if isinstance(kind, RULED):
         value = typed(text, kind)
         return F.lit(False) if value is None else column == F.lit(value).cast(kind)
     return column.cast("string") == F.lit(text)

@@ -11,31 +11,72 @@ from hornspark.functions.values import as_type, common_type, equals_text
 from hornspark.plans.nodes import Atom, Const, Var
 
 
+def _positions(atom: Atom) -> dict[str, list[int]]:
+    """Where each variable stands."""
+    out: dict[str, list[int]] = {}
+    for i, term in enumerate(atom.terms):
+        if isinstance(term, Var):
+            out.setdefault(term.name, []).append(i)
+    return out
+
+
+def _constants(df: DataFrame, atom: Atom) -> list[Column]:
+    kinds = [f.dataType for f in df.schema.fields]
+    some = [(i, t.value) for i, t in enumerate(atom.terms) if isinstance(t, Const)]
+    return [equals_text(F.col(f"c{i}"), kinds[i], text) if i < len(kinds) else F.lit(False) for i, text in some]
+
+
+def _equalities(df: DataFrame, atom: Atom) -> list[Column]:
+    kinds = [f.dataType for f in df.schema.fields]
+    tests = []
+    for first, *others in (at for at in _positions(atom).values() if at[-1] < len(kinds)):
+        for i in others:
+            want = common_type(kinds[first], kinds[i])
+            tests.append(as_type(F.col(f"c{first}"), kinds[first], want) == as_type(F.col(f"c{i}"), kinds[i], want))
+    return tests
+
+
+def _bound(df: DataFrame, atom: Atom) -> list[Column]:
+    width = len(df.columns)
+    return [F.col(f"c{at[0]}").isNotNull() if at[-1] < width else F.lit(False) for at in _positions(atom).values()]
+
+
+def _all(tests: list[Column]) -> Column | None:
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _keep(df: DataFrame, tests: list[Column]) -> DataFrame:
+    test = _all(tests)
+    return df if test is None else df.filter(test)
+
+
 def atom_filter(df: DataFrame, atom: Atom) -> Column | None:
     """All conditions of the atom as one predicate; None where it has none.
 
     A position past the relation's last column matches nothing. Positions the atom doesn't name are free: a
     short atom matches on the prefix. An expression matches anything.
     """
-    kinds = [f.dataType for f in df.schema.fields]
-    tests: list[Column] = []
-    first: dict[str, int] = {}
-    for i, term in enumerate(atom.terms):
-        if i >= len(kinds):
-            if isinstance(term, Const | Var):
-                return F.lit(False)
-            continue
-        column = F.col(f"c{i}")
-        if isinstance(term, Const):
-            tests.append(equals_text(column, kinds[i], term.value))
-        elif isinstance(term, Var) and term.name in first:
-            j = first[term.name]
-            want = common_type(kinds[i], kinds[j])
-            tests.append(as_type(F.col(f"c{j}"), kinds[j], want) == as_type(column, kinds[i], want))
-        elif isinstance(term, Var):
-            first[term.name] = i
-            tests.append(column.isNotNull())
-    return reduce(lambda a, b: a & b, tests) if tests else None
+    return _all(_constants(df, atom) + _bound(df, atom) + _equalities(df, atom))
+
+
+def select(df: DataFrame, atom: Atom) -> DataFrame:
+    """The tuples that have the atom's constants."""
+    return _keep(df, _constants(df, atom))
+
+
+def equal(df: DataFrame, atom: Atom) -> DataFrame:
+    """The tuples in which all positions of a variable agree."""
+    return _keep(df, _bound(df, atom) + _equalities(df, atom))
+
+
+def project(df: DataFrame, atom: Atom) -> DataFrame:
+    """The first position of each variable; a position past the last column is NULL."""
+    return df.select(*((F.col(f"c{at[0]}") if at[0] < len(df.columns) else F.lit(None).cast("string").alias(f"c{at[0]}")) for at in _positions(atom).values()))
+
+
+def rename(df: DataFrame, atom: Atom) -> DataFrame:
+    """A projected relation's columns named by the atom's variables, as a set."""
+    return df.toDF(*atom.variables).distinct()
 
 
 def evaluate_atom(df: DataFrame, atom: Atom, names: dict[str, str], keep: set[str] | None = None) -> DataFrame:

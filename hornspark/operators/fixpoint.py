@@ -131,9 +131,15 @@ class Store:
                 relation.parts = [Part(p.epoch, self.cast(p.df, like), p.rows) for p in relation.parts]
 
     def fix(self, rules: list[Rule]) -> None:
-        """Write what a loop only reads, once: its plan may be long, and every round would run it again. Columns that no rule names are left out."""
+        """Write what a loop starts from and what it only reads, once: a plan may be long, and every round would run it again.
+
+        Of what is only read, columns that no rule names are left out.
+        """
         heads = {r.head.name for r in rules}
         self.fixed = {}
+        for name in heads:
+            relation = self.relations[name]
+            relation.parts = [p if p.rows is not None else Part(p.epoch, *self._write(p.df, 0)) for p in relation.parts]
         named: dict[str, set[int]] = {}
         for a in (a for r in rules for a in r.body if a.name not in heads):
             named.setdefault(a.name, set()).update(i for i, t in enumerate(a.terms) if not hasattr(t, "op"))
@@ -159,18 +165,22 @@ class Store:
         like = relation.parts[0].df
         new = reduce(DataFrame.unionByName, (self.cast(d, like) for d in derived)).distinct()
         nulls = nulls or any(len(d.columns) < len(like.columns) for d in derived)
-        for bucketed in (True, False):
-            total = relation.united([p for p in relation.parts if p.bucketed == bucketed])
-            if total is not None and nulls:
+        # A bucketed table needs no shuffle, but a union of such tables would: each is a join of its own.
+        plain = relation.united([p for p in relation.parts if not p.bucketed])
+        for total in [p.df for p in relation.parts if p.bucketed and p.rows] + ([plain] if plain is not None else []):
+            if nulls:
                 test = reduce(lambda a, b: a & b, (F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in like.columns))
                 new = new.alias("n").join(total.alias("t"), test, "left_anti")
-            elif total is not None:
+            else:
                 new = new.join(total, like.columns, "left_anti")
         return new
 
     def _write(self, df: DataFrame, expected: int) -> tuple[DataFrame, int, bool]:
         large = expected >= BUCKET_ROWS
-        return *self.scratch.write_counted(df, self.buckets if large else 0), large
+        out, rows = self.scratch.write_counted(df, self.buckets if large else 0)
+        if rows >= BUCKET_ROWS and not large:  # larger than expected: dealt into buckets once, not shuffled in every later round
+            return *self.scratch.write_counted(out, self.buckets), True
+        return out, rows, large
 
     def grow_all(self, derived: dict[str, list[DataFrame]], *, nulls: bool = False) -> bool:
         """Unions of sets, all at once: keep what is new, say whether anything is."""

@@ -41,8 +41,8 @@ class Scratch:
     def write_counted(self, df: DataFrame, buckets: int = 0) -> tuple[DataFrame, int]:
         """The same rows, now read from a written table, and their number, which the write itself finds.
 
-        With ``buckets`` the table is dealt by the hash of all its columns, as a shuffle of that many partitions does it; plans over
-        it know that, also when several such tables are united, and don't shuffle it again.
+        With ``buckets`` the table is dealt by the hash of all its columns, as a shuffle of that many partitions does it; joins on all
+        its columns know that and don't shuffle it again.
         """
         path, seen = self._path(), Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write
