@@ -26,6 +26,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.numbers = spark, [], count()
+        self.path_of: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
         self.base = f"{shared_dir(spark).rstrip('/')}/hornspark-{uuid.uuid4().hex}"
 
     def _path(self) -> str:
@@ -36,7 +38,13 @@ class Scratch:
         """The same rows, now read from a written table."""
         path = self._path()
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._read(df, path)
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.path_of[id(out)] = path
+        self.kept.append(out)  # so that no other frame gets its id
+        return out
 
     def write_counted(self, df: DataFrame, buckets: int = 0) -> tuple[DataFrame, int]:
         """The same rows, now read from a written table, and their number, which the write itself finds.
@@ -48,7 +56,7 @@ class Scratch:
         writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write
         if not buckets:
             writer.parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+            return self._read(df, path), seen.get["n"]
         name = f"hornspark_{uuid.uuid4().hex}"
         writer.bucketBy(buckets, *df.columns).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
@@ -56,6 +64,12 @@ class Scratch:
         self.spark.sql(f"drop table {name}")
         return out, seen.get["n"]
 
+    def forget(self, *frames: DataFrame) -> None:
+        """Delete the tables that these frames, as ``write`` returned them, read: nothing to come needs them."""
+        for df in frames:
+            if (path := self.path_of.pop(id(df), None)) is not None:
+                self.drop(path)
+
     def drop(self, path: str | None = None) -> None:
         """Delete one table, or all of them."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.base)
