@@ -8,8 +8,10 @@ import pytest
 from helpers import CLASHES, ODD, components, frame, shingles
 from pyspark.sql import functions as F
 
+from hornspark.llm import components as graph
 from hornspark.llm import fingerprints, near_dups
 from hornspark.llm.shingles import shingle_sets
+from hornspark.sources.scratch import Scratch
 
 
 def edited(rng, words, share):
@@ -38,6 +40,9 @@ def corpus(seed=1):
 @pytest.mark.parametrize(("width", "percent", "docs_in_block"), [(3, 85, 1024), (5, 80, 1024), (3, 85, 20)])
 def test_components(spark, monkeypatch, width, percent, docs_in_block):
     monkeypatch.setattr(near_dups, "BLOCK_DOCS", docs_in_block)
+    monkeypatch.setattr(near_dups, "BLOCK_BITS", docs_in_block)
+    if docs_in_block < 100:
+        monkeypatch.setattr(graph, "HUB", 3)
     texts = corpus()
     docs = frame(spark, texts)
     for c in CLASHES:
@@ -49,6 +54,60 @@ def test_components(spark, monkeypatch, width, percent, docs_in_block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(shingles(texts[r.doc_id], width)), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_texts_of_one_template_are_never_joined(spark, monkeypatch):
+    """4000 texts of pairwise likeness 0.3: none is a candidate, so no full set is compared."""
+    rng = random.Random(9)
+    form = [f"t{i}" for i in range(60)]
+    texts = [" ".join(form + [f"u{rng.randrange(10**9)}" for _ in range(70)]) for _ in range(4000)]
+    a, b = shingles(texts[0], 3), shingles(texts[1], 3)
+    assert 0.25 < len(a & b) / len(a | b) < 0.35
+    texts += [texts[7] + " x", texts[8][:-12] + " y z"]
+    compared = []
+    plain = near_dups.map_batches
+
+    def spy(df, *args, **options):
+        if "n_blocks" in df.columns:
+            compared.append(df.count())
+        return plain(df, *args, **options)
+
+    monkeypatch.setattr(near_dups, "map_batches", spy)
+    rows = near_dups.near_duplicates(frame(spark, texts), width=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows if r.component_id != r.doc_id} == {4000: 7, 4001: 8}
+    assert compared == [4]
+
+
+def test_a_cloud_of_near_copies_in_many_blocks(spark, monkeypatch):
+    """Blocks meet through their hub; strays, alike to one another but not to the hub, are found across blocks."""
+    monkeypatch.setattr(near_dups, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dups, "BLOCK_BITS", 16)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(300)]
+    texts = [edited(rng, base, 0.012) for _ in range(200)]
+    for _ in range(20):
+        far = edited(rng, base, 0.03).split()
+        texts += [" ".join(far), edited(rng, far, 0.006)]
+    rng.shuffle(texts)
+    want = components(texts, 3, 85)
+    assert len(set(want)) > 5
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame(spark, texts), width=3, percent=85).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_components_of_a_hub(spark):
+    """A vertex with 10**5 neighbours: its edges stay spread over the tasks."""
+    n = 100_000
+    edges = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).union(spark.range(n, n + 50).select("id", F.col("id") + 1))
+    found = graph.components(edges, Scratch(spark))
+    assert found.count() == n - 1 + 50 and found.groupBy("b").count().orderBy("b").collect() == [(0, n - 1), (n, 50)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sides = graph._with_least(edges.union(edges.select("b", "a")), n // 100)
+        held = sides.filter("a = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) >= 4 and max(r["count"] for r in held) < n / 2
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (3, "A  b c\nd"), (None, "a b c d"), (None, None), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
