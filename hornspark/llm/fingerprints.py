@@ -31,6 +31,8 @@ from hornspark.llm.shingles import shingle_sets
 BINS, BITS, WIDTH = 256, 8, 5
 #: Documents to a range, on average, and the most ranges: the driver holds two numbers for each.
 RANGE_ROWS, MOST_RANGES = 1024, 100_000
+#: Ranges that a task of the shuffle takes, on average.
+RANGES_A_TASK = 8
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -60,7 +62,7 @@ def densify(minima: np.ndarray) -> np.ndarray:
 
 
 def low_bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Packed low-order bits, a row of bytes each. The value is mixed with its bin, so copied values do not agree by design."""
+    """Packed low-order bits of each bin's value, a row of bytes each. Values are mixed once more, so that their low bits tell all of them apart equally."""
     full = densify(bin_minima(sets, BINS))
     return (mix(full.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
@@ -126,7 +128,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
-    n = min(MOST_RANGES, -(-ids.count() // RANGE_ROWS))
+    n = max(1, min(MOST_RANGES, -(-ids.count() // RANGE_ROWS)))
     cuts = ids.filter("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], max(1e-4, 0.2 / n)) if n > 1 else []
     cuts = np.unique(np.array(cuts, np.int64))
 
@@ -160,7 +162,8 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(to[is_head]), pa.array(~no[: some.num_rows])], ["doc_id", "text", "range", "guard"])
 
     dealt = docs.mapInArrow(deal, "doc_id long, text string, range long, guard boolean")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "guard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # A few ranges to a partition, however many there are: what a task reads doesn't grow with the table.
+    dealt = dealt.repartition(-(-n // RANGES_A_TASK), "range").sortWithinPartitions("range", "guard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (doc_id, text, range) not yet answered

@@ -2,8 +2,10 @@
 
 A text's terms are pairs and triples of neighbouring character classes, by which prose, tables, shouting and debris differ
 in any language, and measures of repetition. A bounded sample of labelled rows gives the term weights and, by a truncated
-singular value decomposition, the latent space. Its vectors are broadcast. Every document's cosines to all of them come from
-blocked matrix products; the nearest vote with their similarities as weights.
+singular value decomposition, the latent space, about a point halfway between the origin and the sample's mean (CENTRE), so that length of the mean direction
+still counts. Its vectors are broadcast. Every document's cosines to all of them come from
+blocked matrix products; the NEIGHBOURS nearest vote, each with its similarity to the power POWER. As the sample may hold one class more densely than the
+labels do, a vote also counts by the root (SOFTEN) of what would undo that: wholly undone, the rarer class would hardly be heard.
 
 The score is the share of the weight that falls to label 1; predicted is 1 from THRESHOLD on. Null and empty texts have a vector
 of their own kind and are scored like others. Without any training label every score is 0.5. Texts are read whole; doc_id only tells held-out rows,
@@ -25,6 +27,7 @@ from hornspark.llm.labelled import held_out, training_rows
 #: Labelled rows of each class that the classifier is fitted on at most.
 MOST_ROWS = 2000
 NEIGHBOURS, LATENT, POWER, THRESHOLD = 15, 48, 8, 0.3
+CENTRE, SOFTEN = 0.5, 0.5
 PAIRS, TRIPLES, EXTRA = 32 * 32, 1024, 8
 TERMS = PAIRS + TRIPLES + EXTRA
 #: Bytes of a text looked at together.
@@ -95,7 +98,7 @@ class LatentModel:
         self.idf = np.log((1 + len(vectors)) / (1 + len(vectors) * seen)).astype(np.float32) + 0.5
         self.idf[PAIRS + TRIPLES :] = 1.0
         weighted = vectors * self.idf
-        self.mean = weighted.mean(axis=0) * 0.5
+        self.mean = weighted.mean(axis=0) * CENTRE
         centred = weighted - self.mean
         rank = min(LATENT, *centred.shape)
         # Randomized range finder with a fixed seed, then a small exact decomposition.
@@ -112,7 +115,7 @@ class LatentModel:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def scores(self, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Similarity-weighted votes; ``weights`` undo the sampling of the classes."""
+        """Similarity-weighted votes, each also weighted by its point's ``weights``."""
         k = min(NEIGHBOURS, len(self.points))
         out = np.empty(len(vectors))
         for lo in range(0, len(vectors), 256):
@@ -124,7 +127,7 @@ class LatentModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[LatentModel, np.ndarray] | None:
-    """The model and its points' weights, from at most 2 * MOST_ROWS labelled rows; None without any."""
+    """The model and its points' weights, from at most 2 * MOST_ROWS labelled rows; None without any. Term vectors travel in half precision."""
     rows, totals = training_rows(docs, labels, column, {0: MOST_ROWS, 1: MOST_ROWS})
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[La
     label = found.column("label").to_numpy()
     share = {c: totals.get(c, 0) / max(1, int((label == c).sum())) for c in (0, 1)}
     weights = np.array([share[int(c)] for c in label])
-    return LatentModel(vectors, label), (weights / weights.max()) ** 0.5
+    return LatentModel(vectors, label), (weights / weights.max()) ** SOFTEN
 
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:

@@ -162,8 +162,12 @@ def _half_at(x: Column, half: float) -> Column:
     return 1 / (1 + F.pow(half / F.greatest(x, F.lit(1e-9)), STEEP))
 
 
-def build(pairs: DataFrame) -> RatioModel:
-    """The models' log ratios from the pair counts, all by aggregations; the words and pairs of the bounded sample come to the driver."""
+def smoothed(pairs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float]] | None:
+    """The models' probabilities, all by aggregations; None unless both classes have words.
+
+    Of words: w, n0, n1, p0, p1. Of pairs whose first word both classes have: v, w, n0, n1, c0, c1 (counts of v), backoff, b0, b1 (p of w after v), and the
+    word's p0, p1. Constants: p of an unseen word, the same in both classes, and the toxic share of all counts.
+    """
 
     def occurrences(c: str) -> list:
         return [F.count_if(F.col(c) == k).alias(f"{c}_{k}") for k in (1, 2)]
@@ -172,32 +176,43 @@ def build(pairs: DataFrame) -> RatioModel:
     u = uni.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.sum("before").alias("types"), F.count("*").alias("V"), F.count_if(F.col("n0") > 0).alias("T0"), F.count_if(F.col("n1") > 0).alias("T1"), *occurrences("n0"), *occurrences("n1")).first()
     p = pairs.agg(*occurrences("n0"), *occurrences("n1")).first()
     if not u["N0"] or not u["N1"]:
-        return RatioModel(*(pa.table({c: [] for c in names}) for names in (("w", "ratio"), ("v", "w", "extra"))))
+        return None
     d1 = _discount(u["n0_1"] + u["n1_1"], u["n0_2"] + u["n1_2"])
     d2 = _discount(p["n0_1"] + p["n1_1"], p["n0_2"] + p["n1_2"])
     masses = [d1 * u[f"T{c}"] / u[f"N{c}"] for c in (0, 1)]
     shared = max(masses)
-    q = (F.col("before") + 0.5) / (u["types"] + 0.5 * (u["V"] + 1))
+    floor = 0.5 / (u["types"] + 0.5 * (u["V"] + 1))
+    q = (F.col("before") + 0.5) * (2 * floor)
 
     def unigram(c: int):
         kept = (1 - shared) / (1 - masses[c])
         return F.lit(kept) * F.greatest(F.col(f"n{c}") - d1, F.lit(0.0)) / u[f"N{c}"] + F.lit(shared) * q
 
-    uni = uni.select("w", "n0", "n1", unigram(0).alias("p0"), unigram(1).alias("p1")).withColumn("ratio", F.log(F.col("p1") / F.col("p0")))
+    uni = uni.select("w", "n0", "n1", unigram(0).alias("p0"), unigram(1).alias("p1"))
     context = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
-    # Where a class has no v its backoff mass is 1, and so is L_v: extra is 0 for all such pairs, and they need no entry.
-    every = pairs.join(context.filter("c0 > 0 and c1 > 0"), "v").join(uni.select("w", "p0", "p1", "ratio"), "w")
-    backoff = F.greatest(d2 * F.col("t0") / F.col("c0"), d2 * F.col("t1") / F.col("c1"))
+    # Where a class has no v its backoff mass is 1, and so is L_v: such pairs are as likely as their second word, in both classes.
+    every = pairs.join(context.filter("c0 > 0 and c1 > 0"), "v").join(uni.select("w", "p0", "p1"), "w")
+    every = every.withColumn("backoff", F.greatest(d2 * F.col("t0") / F.col("c0"), d2 * F.col("t1") / F.col("c1")))
 
     def bigram(c: int):
-        kept = (1 - backoff) / (1 - d2 * F.col(f"t{c}") / F.col(f"c{c}"))
-        return kept * F.greatest(F.col(f"n{c}") - d2, F.lit(0.0)) / F.col(f"c{c}") + backoff * F.col(f"p{c}")
+        kept = (1 - F.col("backoff")) / (1 - d2 * F.col(f"t{c}") / F.col(f"c{c}"))
+        return kept * F.greatest(F.col(f"n{c}") - d2, F.lit(0.0)) / F.col(f"c{c}") + F.col("backoff") * F.col(f"p{c}")
 
-    share1 = F.lit(u["N1"] / (u["N0"] + u["N1"]))
-    words_ratio = F.col("ratio") * _half_at(F.abs("ratio"), MILD) * _half_at(_g2(F.col("n0"), F.col("n1"), share1), SIGNIFICANT)
+    every = every.select("v", "w", "n0", "n1", "c0", "c1", "p0", "p1", "backoff", bigram(0).alias("b0"), bigram(1).alias("b1"))
+    return uni, every, {"unseen": shared * floor, "share1": u["N1"] / (u["N0"] + u["N1"])}
+
+
+def build(pairs: DataFrame) -> RatioModel:
+    """The models' log ratios from the pair counts; the words and pairs of the bounded sample come to the driver."""
+    found = smoothed(pairs)
+    if found is None:
+        return RatioModel(*(pa.table({c: [] for c in names}) for names in (("w", "ratio"), ("v", "w", "extra"))))
+    uni, every, constants = found
+    ratio = F.log(F.col("p1") / F.col("p0"))
+    words_ratio = ratio * _half_at(F.abs(ratio), MILD) * _half_at(_g2(F.col("n0"), F.col("n1"), F.lit(constants["share1"])), SIGNIFICANT)
     # By chance w would follow v in either class as often as v occurs there and w's own ratio says.
-    tilt = F.col("c1") * F.exp("ratio")
-    extra = (F.log(bigram(1) / bigram(0)) - F.col("ratio")) * _half_at(_g2(F.col("n0"), F.col("n1"), tilt / (F.col("c0") + tilt)), SIGNIFICANT)
+    tilt = F.col("c1") * F.exp(ratio)
+    extra = (F.log(F.col("b1") / F.col("b0")) - ratio) * _half_at(_g2(F.col("n0"), F.col("n1"), tilt / (F.col("c0") + tilt)), SIGNIFICANT)
     return RatioModel(uni.select("w", words_ratio.alias("ratio")).toArrow(), every.select("v", "w", extra.alias("extra")).toArrow())
 
 

@@ -169,6 +169,35 @@ def test_neighbour_fingerprints(spark):
         assert by_text.setdefault(t or "", rows[i].fingerprint) == rows[i].fingerprint
 
 
+def test_fingerprints_bin_by_bin(spark):
+    """One set at a time, one bin at a time, with integers of Python."""
+    mask, k = (1 << 64) - 1, fingerprints.BINS
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    rng = random.Random(6)
+    texts = ["", "one", "a b c d e f", " ".join(f"w{rng.randrange(90)}" for _ in range(300)), "long text " * 300_000, " ".join(map(str, range(5000)))]
+    want = []
+    for s in shingle_sets(texts, fingerprints.WIDTH):
+        bins = [None] * k
+        for x in s.tolist():
+            h = mix(x + 0x632BE59BD9B4E019 & mask)
+            at, value = (h >> 40) * k >> 24, h & (1 << 40) - 1
+            bins[at] = value if bins[at] is None else min(bins[at], value)
+        full = list(bins)
+        for at in range(k):
+            attempt = 0
+            while full[at] is None and any(b is not None for b in bins):
+                attempt += 1
+                full[at] = bins[(mix(at * 0x9E3779B97F4A7C15 + attempt & mask) >> 33) % k]
+        want.append("".join(f"{mix(b + 0x9E3779B97F4A7C15 & mask) & 255:02x}" for b in full) if len(s) else "-" + "00" * k)
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_fingerprint_corners(spark):
     docs = spark.createDataFrame([(None, "p q r s t u"), (4, "a"), (4, "b"), (None, None)], "doc_id long, text string")
     rows = fingerprints.neighbour_fingerprints(docs).collect()

@@ -71,6 +71,71 @@ def test_every_counted_word_and_pair_is_scored(spark):
     assert abs(2 * model.evidence("a c")[0] - own) > 1e-12  # pairs say more than their words, the first of a text too
 
 
+def test_kneser_ney_probabilities(spark):
+    """Against the formulas word by word; each class's distribution over words, and after each word, sums to one."""
+    rng = random.Random(12)
+    vocabulary = "a b c d e f g".split()
+    counts = {}
+    for _ in range(60):
+        key = (rng.choice(["", *vocabulary]), rng.choice(vocabulary))
+        counts[key] = (rng.randrange(4), rng.randrange(4))
+    counts = {k: n for k, n in counts.items() if any(n)}
+    uni, pairs, constants = toxicity.smoothed(spark.createDataFrame([(*k, *n) for k, n in counts.items()], "v string, w string, n0 long, n1 long"))
+    words = {r.w: r for r in uni.collect()}
+    found = {(r.v, r.w): r for r in pairs.collect()}
+
+    def discount(numbers):
+        once, twice = (sum(n == k for n in numbers) for k in (1, 2))
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    n = {w: [sum(x[c] for (_, u), x in counts.items() if u == w) for c in (0, 1)] for w in words}
+    total = [sum(x[c] for x in n.values()) for c in (0, 1)]
+    d1, d2 = discount([k for x in n.values() for k in x]), discount([k for x in counts.values() for k in x])
+    mass = [d1 * sum(x[c] > 0 for x in n.values()) / total[c] for c in (0, 1)]
+    before = {w: sum(u == w for _, u in counts) for w in words}
+    q = {w: (k + 0.5) / (len(counts) + 0.5 * (len(words) + 1)) for w, k in before.items()}
+    for c in (0, 1):
+        p = {w: (1 - max(mass)) / (1 - mass[c]) * max(n[w][c] - d1, 0) / total[c] + max(mass) * q[w] for w in words}
+        assert all(abs(words[w][f"p{c}"] - p[w]) < 1e-12 for w in words)
+        assert abs(sum(p.values()) + constants["unseen"] - 1) < 1e-12
+        for v in {k[0] for k in found}:
+            after = {w: x for (u, w), x in counts.items() if u == v}
+            seen = [sum(x[k] for x in after.values()) for k in (0, 1)]
+            own = [d2 * sum(x[k] > 0 for x in after.values()) / seen[k] for k in (0, 1)]
+            for w, x in after.items():
+                want = (1 - max(own)) / (1 - own[c]) * max(x[c] - d2, 0) / seen[c] + max(own) * p[w]
+                assert abs(found[v, w][f"b{c}"] - want) < 1e-12 and abs(found[v, w].backoff - max(own)) < 1e-12
+            assert abs(sum(found[v, w][f"b{c}"] for w in after) + max(own) * (1 - sum(p[w] for w in after)) - 1) < 1e-12
+    assert {k[0] for k in found} == {v for v, _ in counts if all(sum(x[c] for (u, _), x in counts.items() if u == v) for c in (0, 1))}
+
+
+def test_neighbour_votes_equal_plain_ones():
+    """Blocked products and partial selection against sorting all neighbours of one vector at a time."""
+    rng = np.random.default_rng(4)
+    vectors, labels, weights = rng.random((300, quality.TERMS), np.float32), rng.integers(0, 2, 300), rng.random(300) + 0.1
+    model = quality.LatentModel(vectors, labels)
+    asked = rng.random((600, quality.TERMS), np.float32)
+    got = model.scores(asked, weights)
+    for x, score in zip(asked, got, strict=True):
+        z = (x * model.idf - model.mean) @ model.axes
+        cos = model.points @ (z / np.linalg.norm(z))
+        near = sorted(range(300), key=lambda i: -cos[i])[: quality.NEIGHBOURS]
+        vote = {c: sum(max(cos[i], 1e-6) ** quality.POWER * weights[i] for i in near if labels[i] == c) for c in (0, 1)}
+        assert abs(vote[1] / (vote[0] + vote[1]) - score) < 1e-3
+    exact = np.linalg.svd(vectors * model.idf - model.mean, full_matrices=False)[1][: quality.LATENT]
+    assert np.linalg.norm((vectors * model.idf - model.mean) @ model.axes, axis=0)[:8] == pytest.approx(exact[:8], rel=0.05)
+
+
+def test_long_and_clashing_rows_are_scored(spark):
+    docs, labels = tables(spark)
+    odd = frame(spark, ["word " * 400_000, "x" * 2_000_000, None])
+    for c in CLASHES:
+        odd = odd.withColumn(c, F.lit("x"))
+    for module in (quality, toxicity):
+        rows = module.score(odd, labels).collect()
+        assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows)
+
+
 # --- personal data ---
 
 PATTERNS = {
