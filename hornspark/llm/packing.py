@@ -39,8 +39,8 @@ SENTENCE, INSIDE, SEQUENCE = 6, 24, 48
 GRID = 64
 #: Ids in a block: what a task holds and plans at once.
 BLOCK = 1 << 19
-#: Powers of two tried as window lengths within a block; at a partition's end all are.
-POWERS = (2048, 1024, 512)
+#: Window lengths without padding, apart from a full window.
+POWERS = tuple(1 << b for b in range(11, -1, -1))
 SEPARATOR = "<|startoftext|>"
 #: How ids are remembered; a vocabulary has to fit.
 ID = "<u2"
@@ -157,8 +157,9 @@ def plan(at: np.ndarray, penalty: np.ndarray) -> list[int]:
     whole: dict[int, list[int]] = {}  # candidates that lie a power of two back
     for size in POWERS:
         i = np.minimum(np.searchsorted(at, at - size), n - 1)
-        for j in np.flatnonzero(at[i] == at - size).tolist():
-            whole.setdefault(j, []).append(int(i[j]))
+        hit = np.flatnonzero(at[i] == at - size)
+        for j, k in zip(hit.tolist(), i[hit].tolist(), strict=True):
+            whole.setdefault(j, []).append(k)
     queue: deque[tuple[int, int]] = deque()  # (f[i] + p[i], i), rising
     pop, push, shift = queue.pop, queue.append, queue.popleft
     value = 0  # f + p of candidate j - 1

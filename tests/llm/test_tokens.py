@@ -153,7 +153,7 @@ def test_plan_is_optimal():
     rng = random.Random(5)
     for _ in range(30):
         at = np.array(sorted({0, *(rng.randrange(1, 20000) for _ in range(60)), 20000}))
-        at = np.array(sorted({*at.tolist(), *range(0, 20000, 4096)}))
+        at = np.array(sorted({*at.tolist(), *range(0, 20000, 4096), *(int(p) + (1 << rng.randrange(12)) for p in rng.choices(at[:-1], k=20))} - {*range(20001, 30000)}))
         pen = np.array([rng.choice([0, 6, 24]) for _ in at])
 
         def pad(n):
