@@ -45,7 +45,7 @@ BANDS, LOSS = 64, 1e-8
 #: Standard errors of the estimate by bits that a pair in a bucket may lie below the threshold: all but one in 10 ** 10 do.
 MARGIN = 6.5
 #: Shingles (8 bytes each) and documents of one block where sets are compared, and documents of one where bits are.
-BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_BITS = 1_000_000, 1024, 4096
+BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_BITS = 250_000, 256, 1024
 ROUND = 0x9E3779B97F4A7C15
 
 
