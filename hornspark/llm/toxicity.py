@@ -25,6 +25,7 @@ only tells held-out rows, and lang, source and other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ SIGNIFICANT = 12.0
 MILD = 1.5
 #: How fast both fall.
 STEEP = 4
+#: Parts in which the pairs come to the driver.
+PARTS = 8
 WORD = regex.compile(r"\w+")
 
 
@@ -56,8 +59,8 @@ def words(text: str) -> list[str]:
 class RatioModel:
     """Log ratios of words and of pairs, toxic over ordinary."""
 
-    def __init__(self, unigrams: pa.Table, bigrams: pa.Table):
-        """w, ratio of every word; v, w, extra of pairs, where extra is what a pair adds to its second word's own ratio. v is empty at a text's start."""
+    def __init__(self, unigrams: pa.Table, bigrams: Iterable[pa.Table]):
+        """w, ratio of every word; v, w, extra of pairs, table by table, where extra is what a pair adds to its second word's own ratio. v is empty at a text's start."""
         names = pa.array(sorted({"", *unigrams["w"].to_pylist()}), pa.string())
         self.index = {w: i + 1 for i, w in enumerate(names.to_pylist())}
         size = len(names) + 1
@@ -68,12 +71,14 @@ class RatioModel:
 
         if len(unigrams):
             self.uni[ids(unigrams["w"])] = unigrams["ratio"].to_numpy()
-        keys, extra = np.array([-1], np.int64), np.zeros(1)
-        if len(bigrams):
-            keys = np.concatenate([keys, ids(bigrams["v"]) * size + ids(bigrams["w"])])
-            extra = np.concatenate([extra, bigrams["extra"].to_numpy()])
-        order = np.argsort(keys)
-        self.keys, self.extra = keys[order], extra[order]
+        keys, extra = [np.array([-1], np.int64)], [np.zeros(1, np.float32)]
+        for t in bigrams:
+            if len(t):
+                keys.append(ids(t["v"]) * size + ids(t["w"]))
+                extra.append(t["extra"].to_numpy().astype(np.float32))
+        self.keys, self.extra = np.concatenate(keys), np.concatenate(extra)
+        order = np.argsort(self.keys)
+        self.keys, self.extra = self.keys[order], self.extra[order]
         self.curve = (np.zeros(4), np.zeros(4), np.ones(4))
 
     def evidence(self, text: str) -> tuple[float, float, float, float]:
@@ -202,18 +207,20 @@ def smoothed(pairs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float]]
     return uni, every, {"unseen": shared * floor, "share1": u["N1"] / (u["N0"] + u["N1"])}
 
 
-def build(pairs: DataFrame) -> RatioModel:
-    """The models' log ratios from the pair counts; the words and pairs of the bounded sample come to the driver."""
+def build(pairs: DataFrame, scratch: Scratch | None = None) -> RatioModel:
+    """The models' log ratios from the pair counts; the words and pairs of the bounded sample come to the driver, the pairs in PARTS parts."""
     found = smoothed(pairs)
     if found is None:
-        return RatioModel(*(pa.table({c: [] for c in names}) for names in (("w", "ratio"), ("v", "w", "extra"))))
+        return RatioModel(pa.table({"w": [], "ratio": []}), ())
     uni, every, constants = found
     ratio = F.log(F.col("p1") / F.col("p0"))
     words_ratio = ratio * _half_at(F.abs(ratio), MILD) * _half_at(_g2(F.col("n0"), F.col("n1"), F.lit(constants["share1"])), SIGNIFICANT)
     # By chance w would follow v in either class as often as v occurs there and w's own ratio says.
     tilt = F.col("c1") * F.exp(ratio)
     extra = (F.log(F.col("b1") / F.col("b0")) - ratio) * _half_at(_g2(F.col("n0"), F.col("n1"), tilt / (F.col("c0") + tilt)), SIGNIFICANT)
-    return RatioModel(uni.select("w", words_ratio.alias("ratio")).toArrow(), every.select("v", "w", extra.alias("extra")).toArrow())
+    scored = (scratch or Scratch(pairs.sparkSession)).write(every.select("v", "w", extra.cast("float").alias("extra")))
+    part = F.pmod(F.xxhash64("v", "w"), F.lit(PARTS))
+    return RatioModel(uni.select("w", words_ratio.alias("ratio")).toArrow(), (scored.filter(part == k).toArrow() for k in range(PARTS)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> RatioModel | None:
@@ -224,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> RatioModel
     scratch = Scratch(spark)
     rows = scratch.write(rows.repartition(16, "doc_id"))
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
-    model = build(scratch.write(pair_counts(rows.filter(~calibrates))))
+    model = build(scratch.write(pair_counts(rows.filter(~calibrates))), scratch)
     shared = spark.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
