@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, compress, islice, repeat
 from operator import is_
@@ -51,6 +52,21 @@ def map_batches(df: DataFrame, columns: list[str], work: Callable[[pa.RecordBatc
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def give_back(spark: SparkSession) -> None:
+    """Between stages, on the driver: models that were fitted go, and so do shuffles and broadcasts that no plan reads any more, which Spark notices at a collection."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Memo:
     """Results by word in two generations, for a bound on memory.
 
@@ -74,10 +90,7 @@ class Memo:
         for m in gone:
             m.clear()
         if gone:
-            try:
-                ctypes.CDLL(None).malloc_trim(0)  # freed memory back to the system, where the C library can
-            except (OSError, AttributeError):
-                pass
+            trim()
 
     def look_up(self, keys: list, compute: Callable[[list], Iterable]) -> list:
         """The value of each key; those missing are computed all at once."""

@@ -263,7 +263,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scrat
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], ["doc_id", "payload", "group", "n_blocks", "hub"])
 
     sets = map_batches(with_ids(docs, members, "inner").dropDuplicates(["doc_id"]), ["doc_id", "text", "group", "n_blocks", "hub"], sets_of, "doc_id long, payload binary, group long, n_blocks int, hub long")
-    links = components(connected(sets, percent, similar_groups, scratch), scratch)
+    links = scratch.write(connected(sets, percent, similar_groups, scratch))
+    if not groups.filter("n_blocks > 1").isEmpty():  # links of undivided groups are whole already; only those found in several tasks have to meet
+        links = components(links, scratch)
+    scratch.forget(buckets, weights, members, groups)
 
     of_head = classes.join(links.select(F.col("a").alias("head"), "b"), "head", "left").select("digest", F.coalesce("b", "head").alias("component"))
     joined = all_sketches.select("doc_id", "n_shingles", "digest").join(of_head, "digest", "left")
