@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,23 +46,23 @@ class Scratch:
         self.kept.append(out)  # so that no other frame gets its id
         return out
 
-    def write_counted(self, df: DataFrame, buckets: int = 0) -> tuple[DataFrame, int]:
-        """The same rows, now read from a written table, and their number, which the write itself finds.
+    def write_counted(self, df: DataFrame, buckets: int = 0, mark: Column | None = None) -> tuple:
+        """The same rows, now read from a written table, and their number, which the write itself finds; after it ``mark``, an aggregate, if given.
 
         With ``buckets`` the table is dealt by the hash of all its columns, as a shuffle of that many partitions does it; joins on all
         its columns know that and don't shuffle it again.
         """
         path, seen = self._path(), Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write
+        writer = df.observe(seen, F.count(F.lit(1)).alias("n"), *([mark.alias("mark")] if mark is not None else [])).write
         if not buckets:
             writer.parquet(path)
-            return self._read(df, path), seen.get["n"]
+            return self._read(df, path), *seen.get.values()
         name = f"hornspark_{uuid.uuid4().hex}"
         writer.bucketBy(buckets, *df.columns).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out.schema  # noqa: B018 - the plan is resolved before the name goes; the files stay
         self.spark.sql(f"drop table {name}")
-        return out, seen.get["n"]
+        return out, *seen.get.values()
 
     def forget(self, *frames: DataFrame) -> None:
         """Delete the tables that these frames, as ``write`` returned them, read: nothing to come needs them."""
