@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain, compress, islice, repeat
 from operator import is_
 
@@ -60,11 +61,18 @@ def trim() -> None:
         pass
 
 
-def give_back(spark: SparkSession) -> None:
-    """Between stages, on the driver: models that were fitted go, and so do shuffles and broadcasts that no plan reads any more, which Spark notices at a collection."""
-    gc.collect()
-    trim()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def lean_driver(spark: SparkSession) -> Iterator[None]:
+    """For a run of many jobs: the text of each plan, which the driver keeps for a thousand of them, stays short; what was fitted is given back after."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 4096)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+        gc.collect()
+        trim()
 
 
 class Memo:

@@ -36,15 +36,15 @@ def _star(edges: DataFrame, *, large: bool, hub: int) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: every vertex that isn't the least of its component, with the least one."""
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     edges, n = scratch.write_counted(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         hub = max(HUB, n // HUB_SHARE)
         large = scratch.write(_star(edges, large=True, hub=hub))
-        new, n = scratch.write_counted(_star(large, large=False, hub=hub))
+        new, n, now = scratch.write_counted(_star(large, large=False, hub=hub), mark=mark)
         scratch.forget(edges, large)
         edges = new
-        now = n, edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+        if (n, now) == before:
             return edges
-        before = now
+        before = n, now
