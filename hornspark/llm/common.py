@@ -63,14 +63,21 @@ def trim() -> None:
 
 @contextmanager
 def lean_driver(spark: SparkSession) -> Iterator[None]:
-    """For a run of many jobs: the text of each plan, which the driver keeps for a thousand of them, stays short; what was fitted is given back after."""
-    key = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(key)
-    spark.conf.set(key, 4096)
+    """For a run of many jobs. The text of each plan, which the driver keeps for a thousand of them, stays short; only what the operators
+    themselves found small is broadcast, as every broadcast passes through the driver; what was fitted is given back after.
+    """
+    wanted = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
         gc.collect()
         trim()
 
