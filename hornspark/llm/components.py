@@ -20,8 +20,10 @@ def _with_least(around: DataFrame, hub: int) -> DataFrame:
     """a, b, m: each edge with the least of its vertex a and of all neighbours of a."""
     least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("edges"))
     hubs = F.broadcast(least.filter(F.col("edges") > hub).select("a", "m"))
-    others = around.join(hubs.select("a"), "a", "left_anti").join(least.filter(F.col("edges") <= hub).select("a", "m"), "a")
-    return others.unionByName(around.join(hubs, "a"))
+    met = around.join(hubs, "a", "left")  # in both branches below, which share the one broadcast
+    # The other side grows with the edges: it is merged, at any size, rather than sent through the driver.
+    others = met.filter("m is null").drop("m").join(least.filter(F.col("edges") <= hub).select("a", "m").hint("merge"), "a")
+    return others.unionByName(met.filter("m is not null"))
 
 
 def _star(edges: DataFrame, *, large: bool, hub: int) -> DataFrame:

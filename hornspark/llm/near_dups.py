@@ -237,9 +237,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scrat
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select("doc_id", "text")
+    # Joins on doc_id merge at any size: both sides grow with the documents, and a broadcast would pass through the driver.
     all_sketches = scratch.write(sketches(docs, width, band_rows(percent)))
     classes = scratch.write(all_sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head")))
-    heads = all_sketches.join(classes.select(F.col("head").alias("doc_id")).filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = all_sketches.join(classes.select(F.col("head").alias("doc_id")).filter("doc_id is not null").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     keyed = heads.select("doc_id", F.explode("bands").alias("group"))
     shared = keyed.groupBy("group").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
@@ -248,11 +249,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, scrat
     buckets = scratch.write(keyed.join(shared, "group").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK_BITS).cast("int")))
     scratch.forget(shared, keyed)
     weights = scratch.write(buckets.groupBy("doc_id").agg(F.sum("size").alias("weight")))
-    bits = all_sketches.join(weights.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("bits").alias("payload"))
-    near = components(connected(buckets.join(bits, "doc_id").select("group", "n_blocks", "hub", "doc_id", "payload"), percent, alike_groups, scratch), scratch)
+    bits = all_sketches.join(weights.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("bits").alias("payload"))
+    near = components(connected(buckets.join(bits.hint("merge"), "doc_id").select("group", "n_blocks", "hub", "doc_id", "payload"), percent, alike_groups, scratch), scratch)
 
     members = near.select(F.col("a").alias("doc_id"), F.col("b").alias("group")).union(near.select("b", "b").distinct())
-    members = scratch.write(members.join(all_sketches.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id").join(weights, "doc_id"))
+    members = scratch.write(members.join(all_sketches.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).hint("merge"), "doc_id").join(weights.hint("merge"), "doc_id"))
     size = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("n_blocks")
     # The document that shares most buckets with most others is the likeliest to be what they were copied from.
     groups = scratch.write(members.groupBy("group").agg(size, F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub")))
