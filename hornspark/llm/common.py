@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 from itertools import chain, compress, islice, repeat
 from operator import is_
 
@@ -61,25 +60,11 @@ def trim() -> None:
         pass
 
 
-@contextmanager
-def lean_driver(spark: SparkSession) -> Iterator[None]:
-    """For a run of many jobs. The text of each plan, which the driver keeps for a thousand of them, stays short; only what the operators
-    themselves found small is broadcast, as every broadcast passes through the driver; what was fitted is given back after.
-    """
-    wanted = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-        gc.collect()
-        trim()
+def give_back() -> None:
+    """What was freed goes back to the system at once: for a driver that has fitted and sent a model, and serves other operators after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
 
 
 class Memo:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornspark.llm.common import map_batches, table, texts
+from hornspark.llm.common import give_back, map_batches, table, texts
 from hornspark.llm.labelled import held_out, training_rows
 
 #: Labelled rows of each class that the classifier is fitted on at most.
@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[La
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    fitted = fit(docs, labels, column)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # some 2 * MOST_ROWS * LATENT floats
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column))  # some 2 * MOST_ROWS * LATENT floats
+    give_back()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = texts(batch.column(1))
@@ -164,8 +164,8 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFr
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: rows of ``docs`` that the classifier doesn't reject, as they were. Labels are those of ``sf_dir``."""
-    fitted = fit(docs, table(spark, sf_dir, "labels"))
-    shared = spark.sparkContext.broadcast(fitted)
+    shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    give_back()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if shared.value is None:

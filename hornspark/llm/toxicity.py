@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornspark.llm.common import map_batches, table, texts
+from hornspark.llm.common import give_back, map_batches, table, texts
 from hornspark.llm.labelled import held_out, training_rows
 from hornspark.sources.scratch import Scratch
 
@@ -255,6 +255,7 @@ def _scores(model: RatioModel | None, batch: list[str]) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column))
+    give_back()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, texts(batch.column(1))))], ["doc_id", "score"])
@@ -266,6 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFram
 def keep_ordinary(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: rows of ``docs`` with a score below 0.5, as they were. Labels are those of ``sf_dir``."""
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    give_back()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_scores(shared.value, texts(batch.column(batch.schema.get_field_index("text")))) < 0.5))
