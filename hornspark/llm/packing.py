@@ -6,8 +6,10 @@ of over GRID ids without either, every GRID-th id is one, too (a larger penalty)
 
     f[j] = penalty[j] + SEQUENCE + min over i with p[j] - p[i] <= 4096 of (f[i] + padding(p[j] - p[i]))
 
-where the padding of n ids is 4096 - n, and none at a power of two. Apart from the few powers of two the term
-is f[i] + p[i] plus what depends on j alone, so the minimum is that of a sliding window: a monotone queue gives it in constant time.
+where the padding of n ids is 4096 - n, and none at a power of two. With g = f + p the term is g[i] + 4096, or g[i] + n at one of the few powers
+of two, so the minimum is that of a sliding window, which a monotone queue gives in constant time. The queue serves a stretch of 4096 ids
+at once: what a stretch leaves in it are the least g from each candidate to the stretch's end, rising, and windows of the next stretch take its front
+from their first candidate on. Of what their own stretch adds only the running minimum matters, as nothing there has to leave the queue yet.
 
 The stream is planned in blocks of bounded size. A block's last window isn't closed but begins the next block; at a partition's
 end it is padded, or cut into powers of two where that costs less. Rows come out in stream order.
@@ -19,9 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from hornspark.llm.bpe_counts import byte_letters, default_tokenizer
-from hornspark.llm.common import Memo, bound_batches, by_row
+from hornspark.llm.common import Memo, bound_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -41,9 +43,14 @@ GRID = 64
 BLOCK = 1 << 19
 #: Window lengths without padding, apart from a full window.
 POWERS = tuple(1 << b for b in range(11, -1, -1))
+#: More than any cost.
+FAR = 1 << 60
 SEPARATOR = "<|startoftext|>"
 #: How ids are remembered; a vocabulary has to fit.
 ID = "<u2"
+END = np.array([END_ID], ID).tobytes()
+BLANKS = bytes.maketrans(b"\n", b" ")
+BLANKS_AND_LOWER = BLANKS.lower()
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A chunk in lower case that ends in marks: the word before them, and they.
@@ -116,17 +123,33 @@ class ChunkEncoder:
             at = end + skip
 
     @staticmethod
-    def chunks(text: bytes | str) -> list[bytes]:
-        """Stretches between blanks and line ends. A-Z go to lower case here, as the tokenizer does it anyhow, but not where that could spell a special string."""
+    def folded(text: bytes | str) -> bytes:
+        """Line ends as blanks. A-Z go to lower case here, as the tokenizer does it anyhow, but not where that could spell a special string."""
         raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:
-            raw = raw.lower()
-        return raw.replace(b"\n", b" ").split(b" ")
+        return raw.translate(BLANKS if b"<|" in raw else BLANKS_AND_LOWER)
+
+    def _entries(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of chunks that bear the blank after them; none at all is a document's end."""
+        return [ids if k else END for k, ids in zip(keys, self._new([k[:-1] for k in keys]), strict=True)]
 
     def encode(self, batch: list[bytes] | list[str]) -> list[np.ndarray]:
-        rows = [self.chunks(t) for t in batch]
-        end = np.array([END_ID], ID).tobytes()
-        return [np.frombuffer(b"".join(x) + end, ID).astype("<u4") for x in by_row(rows, lambda keys: self.memo.look_up(keys, self._new))]
+        """Each text's ids and the end id. The chunks of all texts lie in one buffer; distinct ones alone become objects."""
+        if not batch:
+            return []
+        raw = [self.folded(t) for t in batch]
+        doc_ends = np.cumsum([len(r) + 1 for r in raw])
+        data = b"".join(chain.from_iterable(zip(raw, repeat(b" "))))
+        cuts = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+        before = np.searchsorted(cuts, doc_ends, side="right")
+        offsets = np.concatenate([[0], np.insert(cuts, before, doc_ends)])
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        keys = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = pa.array(self.memo.look_up(keys, self._entries), pa.large_binary()).take(chunks.indices)
+        _, at, ids = values.buffers()
+        at = np.frombuffer(at, np.int64)[: len(offsets)]
+        ends = (at[before + np.arange(1, len(batch) + 1)] // 2).tolist()
+        stream = np.frombuffer(ids, ID, ends[-1]).astype("<u4")
+        return [stream[a:z] for a, z in pairwise([0, *ends])]
 
 
 @lru_cache(2)
@@ -136,54 +159,64 @@ def encoder(path: str) -> ChunkEncoder:
 
 def candidates(length: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of possible cuts, ascending, the first 0 and the last ``length``, and their penalties."""
-    penalty = np.full(length + 1, -1, np.int64)
+    penalty = np.full(length + 1, -1, np.int8)
     penalty[sentence_ends] = SENTENCE
     penalty[doc_ends] = 0
     penalty[0] = penalty[length] = 0
-    every = np.arange(length + 1)
-    since = every - np.maximum.accumulate(np.where(penalty >= 0, every, 0))  # ids since the last candidate
-    penalty[(since > 0) & (since % GRID == 0)] = INSIDE
+    known = np.flatnonzero(penalty >= 0)
+    inside = (np.diff(known) - 1) // GRID  # candidates to come after each known one
+    before = np.repeat(np.cumsum(inside) - inside, inside)
+    penalty[np.repeat(known[:-1], inside) + GRID * (np.arange(len(before)) - before + 1)] = INSIDE
     at = np.flatnonzero(penalty >= 0)
-    return at, penalty[at]
+    return at, penalty[at].astype(np.int64)
 
 
 def plan(at: np.ndarray, penalty: np.ndarray) -> list[int]:
     """The cheapest cuts: window ends, ascending, the last at[-1]."""
-    p, pen = at.tolist(), penalty.tolist()
-    n = len(p)
+    n = len(at)
     if n < 2:
         return []
-    f, back = [0] * n, [0] * n
-    whole: dict[int, list[int]] = {}  # candidates that lie a power of two back
-    for size in POWERS:
-        i = np.minimum(np.searchsorted(at, at - size), n - 1)
-        hit = np.flatnonzero(at[i] == at - size)
-        for j, k in zip(hit.tolist(), i[hit].tolist(), strict=True):
-            whole.setdefault(j, []).append(k)
-    queue: deque[tuple[int, int]] = deque()  # (f[i] + p[i], i), rising
-    pop, push, shift = queue.pop, queue.append, queue.popleft
-    value = 0  # f + p of candidate j - 1
-    for j in range(1, n):
-        pj = p[j]
-        while queue and queue[-1][0] >= value:
-            pop()
-        push((value, j - 1))
-        best, who = queue[0]
-        while p[who] < pj - WINDOW:
-            shift()
-            best, who = queue[0]
-        best += WINDOW - pj
-        if j in whole:
-            for i in whole[j]:
-                if f[i] < best:
-                    best, who = f[i], i
-        f[j] = best = best + pen[j] + SEQUENCE
-        back[j] = who
-        value = best + pj
+    cost = penalty + SEQUENCE
+    stretch = (at - 1) // WINDOW  # 0 begins at position 1; the candidate at 0 stands alone before it
+    index = np.full(at[-1] + 1, -1, np.int64)
+    index[at] = np.arange(n)
+    back = at[:, None] - np.array(POWERS)
+    source = np.where(back >= 0, index[np.maximum(back, 0)], -1)
+    to, which = np.nonzero(source >= 0)  # windows of a power of two, by their ends
+    source, power = source[to, which], np.array(POWERS)[which]
+    near = stretch[source] == stretch[to]
+    near_to, near_source, near_cost = to[near], source[near], power[near] + cost[to[near]]
+    far_to, far_source, far_power = to[~near], source[~near], power[~near]
+    first = np.searchsorted(at, at - WINDOW)
+    starts = np.searchsorted(stretch, np.arange(stretch[-1] + 2))
+    near_starts, far_starts = (np.searchsorted(x, starts).tolist() for x in (near_to, far_to))
+    g = np.full(n, FAR)
+    g[0] = 0
+    before, queue = 0, np.array([0, FAR])  # the least g from each candidate of the last stretch to its end
+    for k, (a, z) in enumerate(pairwise(starts.tolist())):
+        here = queue[first[a:z] - before] + WINDOW
+        some = slice(far_starts[k], far_starts[k + 1])
+        np.minimum.at(here, far_to[some] - a, g[far_source[some]] + far_power[some])
+        here += cost[a:z]
+        # Windows that begin in this stretch make g larger than where they begin, so they never lower its running minimum.
+        least = np.minimum.accumulate(here)[:-1] + WINDOW
+        np.minimum(here[1:], least + cost[a + 1 : z], out=here[1:])
+        g[a:z] = here
+        some = slice(near_starts[k], near_starts[k + 1])
+        i, j, more = near_source[some], near_to[some], near_cost[some]
+        while True:  # chains of powers of two, a link at a time
+            value = g[i] + more
+            better = np.flatnonzero(value < g[j])
+            if not len(better):
+                break
+            np.minimum.at(g, j[better], value[better])
+        before, queue = a, np.append(np.minimum.accumulate(g[a:z][::-1])[::-1], FAR)
     out, j = [], n - 1
     while j:
-        out.append(p[j])
-        j = back[j]
+        out.append(int(at[j]))
+        lo = first[j]
+        size = at[j] - at[lo:j]
+        j = int(lo + np.argmin(g[lo:j] + np.where(size & (size - 1), WINDOW, size)))
     return out[::-1]
 
 

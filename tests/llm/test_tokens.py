@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import time
 import zlib
 from collections import defaultdict
@@ -193,3 +194,33 @@ def test_little_padding_without_sentence_ends():
     assert windows.sum() == ends[-1] and windows.max() <= packing.WINDOW
     padding = sum(0 if n in (*packing.POWERS, packing.WINDOW) else packing.WINDOW - n for n in windows[:-1].tolist())
     assert padding < 0.02 * packing.WINDOW * len(windows)
+
+
+def test_packing_encodes_as_the_library_and_looks_up_a_word_of_a_batch_once(words, monkeypatch):
+    enc = packing.encoder(packing.default_tokenizer())
+    some = [t or "" for t in ODD] + ["Some words, some Words\nand  others. " * 500, " \n ", "<|endoftext|> Some <|startoftext|>Words", "ÅÉ A-Z"] * 2
+    asked = []
+    monkeypatch.setattr(enc.memo, "look_up", lambda keys, new, own=enc.memo.look_up: (asked.extend(keys), own(keys, new))[1])
+    for t, ids in zip(some, enc.encode(some), strict=True):
+        assert ids.dtype == "<u4" and ids.tolist() == [*words.encode(t, add_special_tokens=False).ids, packing.END_ID]
+    assert len(asked) == len(set(asked))
+    assert [x.tolist() for x in enc.encode([""])] == [[packing.END_ID]] and enc.encode([]) == []
+
+
+def test_plan_takes_no_step_of_python_for_each_candidate():
+    rng = np.random.default_rng(3)
+    at, penalty = packing.candidates(1 << 18, np.array([1 << 18]), np.unique(rng.integers(1, 1 << 18, 1 << 14)))
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        ends = packing.plan(at, penalty)
+    finally:
+        sys.settrace(before)
+    assert ends[-1] == 1 << 18 and lines < len(at)
